@@ -1,9 +1,14 @@
 """Registered queries and their SQL."""
 
+from __future__ import annotations
+
+from stepwright.queries import agreement, chains, graphs, ingest, payloads, pools, reports, scalars, search, streams  # noqa: F401
+from stepwright.queries.registry import QUERIES, SQL
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)

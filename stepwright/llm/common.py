@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at once; batches are cut to this size, rows are never cut.
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 3_000_000
 #: A join side is broadcast only when its counted rows are no more than this.
 BROADCAST_ROWS = 4_000_000
 
@@ -55,14 +56,25 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         start = end
 
 
-def map_batches(df: DataFrame, make: Callable, schema, column: str) -> DataFrame:
+def give_back() -> None:
+    """Return freed memory to the system: Python workers are reused, and would keep each stage's most."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def map_batches(df: DataFrame, make: Callable, schema, column: str, most: int = SLICE_BYTES) -> DataFrame:
     """df.mapInArrow of make()(slice) for each slice; make runs once in each task and returns the kernel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, most):
                 yield from kernel(part)
+            give_back()
+        del kernel
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -34,6 +34,9 @@ SCALE = 1000.0
 #: Words of more bytes go through the step-normalised path.
 LONG = 64
 FLOOR = 1e-6
+#: Bytes of text, and different words, that are scored at once.
+SLICE = 6_000_000
+WORDS_AT_ONCE = 15_000
 #: A document is rejected if its best language gives less than MIN_SCORE nats a byte ...
 MIN_SCORE = -6.0
 #: ... or the second best is nearer than MIN_MARGIN nats a byte.
@@ -180,8 +183,8 @@ def word_scores(words: pa.Array, trie: Trie, p: np.ndarray) -> np.ndarray:
     out = np.zeros((len(words), p.shape[1]))
     raw, start, length = _laid(words)
     short = np.flatnonzero(length <= LONG)
-    for lo in range(0, len(short), 30_000):
-        take = short[lo : lo + 30_000]
+    for lo in range(0, len(short), WORDS_AT_ONCE):
+        take = short[lo : lo + WORDS_AT_ONCE]
         n = length[take]
         at = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
         body = raw[np.arange(int(n.sum())) - np.repeat(at, n) + np.repeat(start[take], n)]
@@ -308,7 +311,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(chosen, make, f"doc_id {kind}, language string, score double, margin double, accepted boolean", "text")
+    return map_batches(chosen, make, f"doc_id {kind}, language string, score double, margin double, accepted boolean", "text", SLICE)
 
 
 def keep_accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -324,4 +327,4 @@ def keep_accepted(docs: DataFrame, model: Model, text_col: str = "text") -> Data
 
         return kernel
 
-    return map_batches(docs, make, docs.schema, text_col)
+    return map_batches(docs, make, docs.schema, text_col, SLICE)

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from stepwright.llm.common import map_batches, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Bytes of text that are tokenised at once: the more, the fewer parts differ.
+SLICE = 8_000_000
 #: The pattern that splits text before the merges of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -126,7 +128,7 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(chosen, make, f"doc_id {kind}, ids binary", "text")
+    return map_batches(chosen, make, f"doc_id {kind}, ids binary", "text", SLICE)
 
 
 def ranking(tokens: DataFrame) -> np.ndarray:
