@@ -74,18 +74,13 @@ def dedupe_lists(spark, sf):
     return B.table(spark, sf, "documents").select("doc_id", _J(X.dedupe(w)).alias("distinct_words"), _J(X.dedupe(w, 5)).alias("bounded"))
 
 
-_JSON = {
-    "list": F.concat(F.lit('[" '), "event_type", F.lit('", "'), F.col("user_id").cast("string"), F.lit('", "", null]')),
-    "cut": F.lit('["a", "b'),
-}
-
-
 @query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 5 = 1 THEN '' WHEN event_id % 5 = 2 THEN '' ELSE event_type || '|' || user_id END AS items,
 json_extract_string(props, '$.k') AS k FROM events""")
 def json_list_parse(spark, sf):
     e = B.table(spark, sf, "events")
     kind = F.pmod("event_id", F.lit(5))
-    raw = F.when(kind == 0, "").when(kind == 1, _JSON["cut"]).when(kind == 2, F.col("props")).otherwise(_JSON["list"])
+    whole = F.concat(F.lit('[" '), "event_type", F.lit('", "'), F.col("user_id").cast("string"), F.lit('", "", null]'))
+    raw = F.when(kind == 0, "").when(kind == 1, '["a", "b').when(kind == 2, F.col("props")).otherwise(whole)
     return e.select("event_id", _J(X.parse_json_list(raw)).alias("items"), F.try_element_at(X.parse_json_object(F.col("props")), F.lit("k")).alias("k"))
 
 

@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stepwright.operators.keys import latest_values
 
-RATING = T.StructType.fromDDL("rater string, chain_id long, turn int, variant int, field string, score int, rated_at timestamp, pos long")
+_KINDS = {"rater": T.StringType(), "chain_id": T.LongType(), "turn": T.IntegerType(), "variant": T.IntegerType(), "field": T.StringType(), "score": T.IntegerType(), "rated_at": T.TimestampType(), "pos": T.LongType()}
+RATING = T.StructType([T.StructField(k, v) for k, v in _KINDS.items()])
 KEYS = ["rater", "chain_id", "turn", "variant", "field"]
 
 
