@@ -179,7 +179,9 @@ def digest(*parts: Column) -> Column:
 
 
 def abbreviated(n: Column) -> Column:
-    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(n >= 1000, F.format_string("%.1fk", n / 1e3)).otherwise(n.cast("string"))
+    """n as 1.2k or 3.4M: ties go to the even digit, as format_number() has it (format_string() rounds them up)."""
+    short = lambda x: F.replace(F.format_number(x, 1), F.lit(","), F.lit(""))
+    return F.when(n >= 1_000_000, F.concat(short(n / 1e6), F.lit("M"))).when(n >= 1000, F.concat(short(n / 1e3), F.lit("k"))).otherwise(n.cast("string"))
 
 
 def nice(c: Column) -> Column:

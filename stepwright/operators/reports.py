@@ -21,7 +21,7 @@ def histogram(df: DataFrame, value: Column, bins: int, lo: float, hi: float) ->
         raise ValueError("hi must be above lo")
     width = (hi - lo) / bins
     at = F.floor((value - lo) / width)
-    counted = df.select(F.when(at == bins, bins - 1).otherwise(at).cast("int").alias("bin")).where(F.col("bin").between(0, bins - 1)).groupBy("bin").agg(F.count("*").alias("n"))
+    counted = df.where(value.between(lo, hi)).select(F.least(at, F.lit(bins - 1)).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
     full = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     out = full.join(counted, "bin", "left").fillna(0, ["n"])
     return out.select("bin", F.round(lo + (F.col("bin") + 0.5) * width, 4).alias("x"), F.round(lo + F.col("bin") * width, 4).alias("lo"), "n")

@@ -36,14 +36,15 @@ def knn_blocks(clips: DataFrame, k: int, vector: str = "audio", block_rows: int
     base = base.withColumn("n", F.element_at(blocks, F.col("split"))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
     q = base.select("split", F.col("own").alias("qb"), other.alias("cb"), "id", "track", "v")
-    c = base.select("split", other.alias("qb"), F.col("own").alias("cb"), "id", "track", "v")
+    # New names on this side: both sides come from the same rows, and their columns must be told apart.
+    c = base.select(F.col("split").alias("s2"), other.alias("qb2"), F.col("own").alias("cb2"), F.col("id").alias("id2"), F.col("track").alias("track2"), F.col("v").alias("v2"))
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"source": [], "target": [], "sim": []}
         if len(left) and len(right):
-            right = right.sort_values("id")
-            b = np.stack(right["v"].to_numpy()).astype(np.float64)
-            ids, tracks = right["id"].to_numpy(), right["track"].to_numpy()
+            right = right.sort_values("id2")
+            b = np.stack(right["v2"].to_numpy()).astype(np.float64)
+            ids, tracks = right["id2"].to_numpy(), right["track2"].to_numpy()
             for lo in range(0, len(left), 512):
                 part = left.iloc[lo : lo + 512]
                 sim = np.round(np.stack(part["v"].to_numpy()).astype(np.float64) @ b.T, 9)
@@ -61,7 +62,7 @@ def knn_blocks(clips: DataFrame, k: int, vector: str = "audio", block_rows: int
         return pd.DataFrame({key: np.concatenate(v) if v else [] for key, v in out.items()})
 
     kind = clips.schema["clip_id"].dataType.simpleString()
-    partial = q.groupBy("split", "qb", "cb").cogroup(c.groupBy("split", "qb", "cb")).applyInPandas(nearest, f"source {kind}, target {kind}, sim double")
+    partial = q.groupBy("split", "qb", "cb").cogroup(c.groupBy("s2", "qb2", "cb2")).applyInPandas(nearest, f"source {kind}, target {kind}, sim double")
     return top_k(partial, ["source"], [F.col("sim").desc(), F.col("target")], k)
 
 

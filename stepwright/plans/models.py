@@ -91,7 +91,7 @@ def bisected(call, items: list, width: int) -> Iterator[tuple[object, str | None
 
 def embedded(df: DataFrame, text: str, model: Embedder, batch: int = 64, truncate: int | None = None) -> DataFrame:
     """df without text, with vector (unit length, the first `truncate` values if given) and error."""
-    place = df.columns.index(text)
+    place, names = df.columns.index(text), df.columns
     keep = [c for c in df.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +104,7 @@ def embedded(df: DataFrame, text: str, model: Embedder, batch: int = 64, truncat
                     v = (v / max(float(np.linalg.norm(v)), 1e-12)).astype(np.float32).tolist()
                 vectors.append(v)
                 errors.append(e)
-            columns = [b.column(k) for k, c in enumerate(df.columns) if c != text]
+            columns = [b.column(k) for k, c in enumerate(names) if c != text]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())], names=[*keep, "vector", "error"])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
@@ -113,14 +113,14 @@ def embedded(df: DataFrame, text: str, model: Embedder, batch: int = 64, truncat
 
 def generated(df: DataFrame, prompt: str, model: Generator, name: str, batch: int = 16) -> DataFrame:
     """df without prompt, with the model's answer under `name`, and error."""
-    place = df.columns.index(prompt)
+    place, names = df.columns.index(prompt), df.columns
     keep = [c for c in df.columns if c != prompt]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.open()
         for b in batches:
             got = list(bisected(model.answer, b.column(place).to_pylist(), batch))
-            columns = [b.column(k) for k, c in enumerate(df.columns) if c != prompt]
+            columns = [b.column(k) for k, c in enumerate(names) if c != prompt]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([g for g, _ in got], pa.string()), pa.array([e for _, e in got], pa.string())], names=[*keep, name, "error"])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)

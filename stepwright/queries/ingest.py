@@ -172,8 +172,8 @@ def tag_vocabulary_topn(spark, sf):
 
 
 @query(f"""WITH v AS (SELECT tag FROM (SELECT unnest({_TAGS}) AS tag FROM part) GROUP BY tag ORDER BY count(*) DESC, tag LIMIT 7)
-SELECT p_partkey, lower(p_name) AS caption, CAST(length(p_name) AS INTEGER) AS caption_char_len, array_to_string(list_filter({_TAGS}, lambda x: list_contains((SELECT list(tag) FROM v), x)), '|') AS tags,
-CAST(len({_TAGS}) AS INTEGER) AS tag_count FROM part""")
+SELECT p_partkey, lower(p_name) AS caption, CAST(length(p_name) AS INTEGER) AS caption_char_len, array_to_string(list_filter({_TAGS}, lambda x: list_contains(vs, x)), '|') AS tags,
+CAST(len({_TAGS}) AS INTEGER) AS tag_count FROM part CROSS JOIN (SELECT list(tag) AS vs FROM v)""")
 def structured_view(spark, sf):
     p = B.table(spark, sf, "part").select("p_partkey", "p_name", F.filter(F.split("p_name", " "), lambda x: x != "").alias("tags"))
     p = p.withColumn("tag_count", F.size("tags"))

@@ -110,7 +110,7 @@ def audio_paths(spark, sf):
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_extendedprice, CASE WHEN l_tax > l_discount THEN round(l_tax - l_discount, 6) END AS duration,
-round(try_cast(CASE WHEN l_linenumber = 1 THEN 'n/a' ELSE ' ' || CAST(l_extendedprice AS VARCHAR) END AS DOUBLE) / 1000, 3) AS seconds FROM lineitem""")
+floor(try_cast(CASE WHEN l_linenumber = 1 THEN 'n/a' ELSE ' ' || CAST(l_extendedprice AS VARCHAR) END AS DOUBLE) + 0.5) / 1000 AS seconds FROM lineitem""")
 def time_parsing(spark, sf):
     raw = F.when(F.col("l_linenumber") == 1, "n/a").otherwise(F.concat(F.lit(" "), F.col("l_extendedprice").cast("string")))
     d = F.round(L.duration(F.col("l_discount"), F.col("l_tax")), 6)
@@ -142,10 +142,10 @@ CASE WHEN o_totalprice / 500000 < 0.75 THEN 'low' WHEN o_totalprice / 500000 < 0
 CASE WHEN o_custkey % 6 <= 1 THEN 'early' WHEN o_custkey % 6 <= 3 THEN 'middle' ELSE 'late' END AS turn_band,
 CASE WHEN o_custkey % 6 <= 1 THEN 'single' WHEN o_custkey % 6 < 5 THEN 'partial' ELSE 'full5' END AS variant_band,
 CASE WHEN o_custkey % 6 <= 0 THEN 'none' WHEN o_custkey % 6 = 1 THEN 'single_axis' ELSE 'multi_axis' END AS axis_band,
-round(greatest(0, least(1, o_totalprice / 300000 - 0.2)), 6) AS clipped FROM orders""")
+round(greatest(0, least(1, o_totalprice / 300000 - 0.2)), 9) AS clipped FROM orders""")
 def hardness_band(spark, sf):
     n, s = F.pmod("o_custkey", F.lit(6)), F.col("o_totalprice") / 500000
-    return B.table(spark, sf, "orders").select("o_orderkey", L.hardness(n).alias("hardness"), L.score_band(s).alias("score_band"), L.turn_band(n).alias("turn_band"), L.variant_band(n).alias("variant_band"), L.axis_count_band(n).alias("axis_band"), F.round(L.clip01(F.col("o_totalprice") / 300000 - 0.2), 6).alias("clipped"))
+    return B.table(spark, sf, "orders").select("o_orderkey", L.hardness(n).alias("hardness"), L.score_band(s).alias("score_band"), L.turn_band(n).alias("turn_band"), L.variant_band(n).alias("variant_band"), L.axis_count_band(n).alias("axis_band"), F.round(L.clip01(F.col("o_totalprice") / 300000 - 0.2), 9).alias("clipped"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN regexp_matches(t, '(?i)\\b(please|could\\s+you|can\\s+you|i[''’]d\\s+like|i\\s+would\\s+like|i\\s+want)\\b') THEN 'non_imperative_request_frame'
