@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -40,6 +42,14 @@ def sized(side: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(side) if rows <= BROADCAST_ROWS else side
 
 
+def once(key: tuple, make: Callable):
+    """make(), called once in a process. Functions shipped by value have globals of their own, so the results lie beside the interpreter's modules."""
+    kept = sys.modules.setdefault("_stepwright_once", types.ModuleType("_stepwright_once")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about `most` bytes of text each; a longer row is a run of its own."""
     if batch.num_rows == 0:

@@ -2,10 +2,11 @@
 
 A fixed public vocabulary of pieces gets a probability per language. The score
 of a word in a language is the sum over all its segmentations into pieces of
-the product of their probabilities (forward algorithm); words are taken apart
-at white space and each starts with the vocabulary's word mark, so a text's
-probability is the product of its words'. A word's score is computed once per
-slice for all languages, then looked up by dictionary code.
+the product of their probabilities (forward algorithm); words are the runs of
+letters of the lower-case text (digits and signs say nothing about a language),
+each starts with the vocabulary's word mark, and a text's probability is the
+product of its words'. A word's score is computed once per slice for all
+languages, then looked up by dictionary code.
 
 The piece probabilities are fitted by expectation maximisation on a bounded
 sample of labelled rows: TRAIN_DOCS documents of each language, those with the
@@ -15,7 +16,6 @@ smallest hash of their id. The bound is a parameter.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepwright.llm.common import map_batches, text_bytes
+from stepwright.llm.common import map_batches, once, text_bytes
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 TRAIN_DOCS = 150
@@ -108,9 +108,13 @@ class Trie:
         return np.concatenate(starts), np.concatenate(stops), np.concatenate(pieces)
 
 
-@cache
 def trie_of(pieces: tuple[bytes, ...]) -> Trie:
-    return Trie(pieces)
+    return once(("trie", pieces), lambda: Trie(pieces))
+
+
+def letter_runs(words: pa.Array) -> pa.Array:
+    """The lower-case runs of letters of each word, as lists; a word without a letter has one empty string."""
+    return pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(words), r"[^\p{L}\p{M}]+", " ")))
 
 
 def _laid(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,9 +206,13 @@ def fit(texts: dict[str, list[str]], pieces: tuple[bytes, ...], rounds: int = RO
     p = np.zeros((len(pieces), len(languages)))
     start_at = np.array([1.0 / (1 + len(x)) ** 2 for x in pieces])
     for k, lang in enumerate(languages):
-        words = pc.utf8_split_whitespace(pa.array(texts[lang], pa.large_string())).flatten()
-        counted = pc.value_counts(words)
-        words, times = counted.field("values"), np.asarray(counted.field("counts"), float)
+        counted = pc.value_counts(pc.utf8_split_whitespace(pa.array(texts[lang], pa.large_string())).flatten())
+        runs = letter_runs(counted.field("values"))
+        coded = runs.flatten().dictionary_encode()
+        words = coded.dictionary
+        times = np.bincount(np.asarray(coded.indices), np.asarray(counted.field("counts"), float)[np.asarray(pc.list_parent_indices(runs))], minlength=len(words))
+        some = np.flatnonzero(np.asarray(pc.not_equal(words, "")))
+        words, times = words.take(pa.array(some)), times[some]
         raw, start, length = _laid(words)
         keep = np.flatnonzero(length <= LONG)
         words, times = words.take(pa.array(keep)), times[keep]
@@ -242,7 +250,7 @@ def train(docs: DataFrame, path: str = VOCABULARY, per_language: int = TRAIN_DOC
     texts: dict[str, list[str]] = {}
     for r in docs.where(F.col(id_col).isin(chosen)).select(id_col, lang_col, text_col).dropna().orderBy(id_col, lang_col, text_col).toLocalIterator():
         texts.setdefault(r[1], []).append(r[2])
-    texts = {k: v for k, v in texts.items() if any(x.strip() for x in v)}
+    texts = {k: v for k, v in texts.items() if any(c.isalpha() for x in v for c in x)}
     if not texts:
         texts = {"und": ["a"]}
     return fit(texts, vocabulary(path))
@@ -258,11 +266,17 @@ def scorer(model: Model):
         offsets = np.asarray(words.offsets, dtype=np.int64)
         flat = words.flatten()
         coded = flat.dictionary_encode()
-        codes, book = np.asarray(coded.indices), coded.dictionary
-        value = word_scores(book, trie, p)
-        size = np.asarray(pc.binary_length(book), float) + len(MARK)
-        empty = np.asarray(pc.equal(book, ""))
-        value[empty], size[empty] = 0.0, 0.0
+        codes = np.asarray(coded.indices)
+        runs = letter_runs(coded.dictionary)
+        within = runs.flatten().dictionary_encode()
+        book, owner = within.dictionary, np.asarray(pc.list_parent_indices(runs))
+        one = word_scores(book, trie, p)
+        bytes_of = np.asarray(pc.binary_length(book), float) + len(MARK)
+        empty = np.asarray(pc.equal(book, ""), dtype=bool)
+        one[empty], bytes_of[empty] = 0.0, 0.0
+        each = np.asarray(within.indices)
+        size = np.bincount(owner, bytes_of[each], minlength=len(coded.dictionary))
+        value = np.stack([np.bincount(owner, one[each, k], minlength=len(coded.dictionary)) for k in range(p.shape[1])], axis=1)
         n = len(texts)
         total = np.zeros((n, p.shape[1]))
         length = np.zeros(n)
@@ -289,8 +303,8 @@ def accepted(best, score, margin) -> np.ndarray:
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, language (null if rejected for want of words), score, margin, accepted.
 
-    score is nats a byte of the best language, margin its lead. A null, empty or blank text has language null,
-    score and margin 0 and is not accepted. Null ids stay null; repeated rows each get a row; ties go to the
+    score is nats a byte of the best language, margin its lead. A null, empty or blank text, or one without a letter,
+    has language null, score and margin 0 and is not accepted. Null ids stay null; repeated rows each get a row; ties go to the
     language first in alphabetical order; texts of any length are scored whole; an empty table gives no rows.
     Other columns of docs are not looked at, whatever their names.
     """
