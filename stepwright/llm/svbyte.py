@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import cache
 from pathlib import Path
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepwright.llm.common import map_batches, written
+from stepwright.llm.common import map_batches, once, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bytes of text that are tokenised at once: the more, the fewer parts differ.
@@ -29,7 +28,6 @@ SLICE = 8_000_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@cache
 def merges(path: str = VOCABULARY) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
 
@@ -42,7 +40,7 @@ def tokenizer(path: str = VOCABULARY):
     """
     import tiktoken
 
-    coder = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=merges(path), special_tokens={})
+    coder = once(("coder", path), lambda: tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=merges(path), special_tokens={}))
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "").cast(pa.large_string())
