@@ -1,8 +1,9 @@
 """Operator 7. Secret scans by password guess cost.
 
 Values in credential context (a key word such as password, token or api_key,
-then = or :, then a value) are given the least number of guesses that a
-segmentation into patterns needs. A dynamic program over prefixes takes the
+then = or :, then a value; or what follows a prefix that an issuer gives its
+keys) are given the least number of guesses that a segmentation into patterns
+needs. A dynamic program over prefixes takes the
 minimum of log10 guesses over all segmentations into
 
 * words: rank in a list of common words, times case and leet variants,
@@ -20,10 +21,9 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: log10 guesses from which a value counts as a secret.
@@ -35,9 +35,13 @@ LONGEST = 512
 SHORTEST = 6
 
 KEYS = ("password", "passwd", "passphrase", "pwd", "secret", "token", "api_key", "api-key", "apikey", "access_key", "access-key", "auth_key", "private_key", "credential", "credentials")
-CONTEXT = r"(?i)(?<![A-Za-z0-9])((?:[a-z0-9]{1,32}[_-]){0,3}(?:" + "|".join(KEYS) + r"))[\"']?\s{0,4}[:=]\s{0,4}[\"']?([^\s\"'<>`,;]{" + f"{SHORTEST},{LONGEST}" + r"})"
-#: Cheap test that every text with a context passes.
-HINT = r"[:=]"
+#: Prefixes of issued keys.
+PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "glpat-", "xoxb-", "xoxp-", "sk_live_")
+#: Groups 1 and 2, or 3 and 4: key word and value, or prefix and what follows it.
+CONTEXT = (
+    r"(?<![A-Za-z0-9])(?:(?i:((?:[a-z0-9]{1,32}[_-]){0,3}(?:" + "|".join(KEYS) + r"))[\"']?\s{0,4}[:=]\s{0,4}[\"']?([^\s\"'<>`,;]{" + f"{SHORTEST},{LONGEST}" + r"}))"
+    r"|(" + "|".join(PREFIXES) + r")([A-Za-z0-9_-]{16,255}))"
+)
 
 WORDS = (
     "password 123456 admin letmein welcome monkey dragon master login abc123 iloveyou sunshine princess football shadow superman michael "
@@ -58,6 +62,8 @@ _DATE = re.compile(r"(?=(\d{8}|\d{6}|\d{1,4}[-/._]\d{1,2}[-/._]\d{1,4}|\d{4}))")
 #: Characters that join words; each is a word of its own.
 SEPARATORS = "_-."
 LONGEST_WORD = max(map(len, RANK))
+#: Values whose results are kept at most.
+KNOWN = 4096
 
 
 def _word(part: str) -> float | None:
@@ -143,9 +149,11 @@ def patterns(value: str) -> Iterator[tuple[int, int, float, str]]:
         yield i, j, cost, "walk"
 
 
-@lru_cache(maxsize=4096)
-def guess(value: str) -> tuple[float, str]:
-    """(log10 guesses, kinds joined by +) of the cheapest segmentation; an empty value costs 0."""
+def guess(value: str, known: dict[str, tuple[float, str]] | None = None) -> tuple[float, str]:
+    """(log10 guesses, kinds joined by +) of the cheapest segmentation; an empty value costs 0. known keeps results between calls."""
+    known = {} if known is None else known
+    if value in known:
+        return known[value]
     n = len(value)
     if not n:
         return 0.0, ""
@@ -154,7 +162,7 @@ def guess(value: str) -> tuple[float, str]:
     for i, j, cost, kind in patterns(value):
         found[j].append((i, cost, kind))
     for i, j, unit, times in _repeats(value):
-        inner = guess(unit)[0] if len(unit) < n else alphabet * len(unit)
+        inner = guess(unit, known)[0] if len(unit) < n else alphabet * len(unit)
         found[j].append((i, inner + math.log10(times), "repeat"))
     # best[j]: cheapest cost of value[:j] and how its last segment begins; brute force runs from any start.
     best: list[tuple[float, int, str]] = [(0.0, 0, "")]
@@ -173,7 +181,10 @@ def guess(value: str) -> tuple[float, str]:
     while j:
         kinds.append(best[j][2])
         j = best[j][1]
-    return best[n][0], "+".join(reversed(kinds))
+    if len(known) >= KNOWN:
+        known.clear()
+    known[value] = best[n][0], "+".join(reversed(kinds))
+    return known[value]
 
 
 def _repeats(value: str) -> Iterator[tuple[int, int, str, int]]:
@@ -188,21 +199,32 @@ def _repeats(value: str) -> Iterator[tuple[int, int, str, int]]:
                     yield j + 1 - size * times, j + 1, value[j + 1 - size : j + 1], times
 
 
+def hinted(text: Column) -> Column:
+    """Cheap test that every text with a context passes."""
+    out = F.contains(text, F.lit(":")) | F.contains(text, F.lit("="))
+    for p in PREFIXES:
+        out = out | F.contains(text, F.lit(p))
+    return out
+
+
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, place, key, value_sha256, log10_guesses, segments, secret: one row for each value in credential context.
 
-    place counts a document's values from 1. The value itself is not returned, only its SHA-256. Null, empty and
+    place counts a document's values from 1; key is the key word or the issuer's prefix in lower case. The value itself is not returned, only its SHA-256. Null, empty and
     context-free texts give no rows; repeated rows and values each give theirs; a null doc_id stays null; whole
     texts are scanned; other columns are not looked at. The pattern runs in the JVM, only values go to Python.
     """
     text = F.col(text_col).cast("string")
-    chosen = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).where(F.col("text").rlike(HINT))
-    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(CONTEXT), F.lit(1)).alias("key"), F.regexp_extract_all("text", F.lit(CONTEXT), F.lit(2)).alias("value"))
-    rows = chosen.select("doc_id", F.posexplode(pairs).alias("p", "kv")).select("doc_id", (F.col("p") + 1).alias("place"), F.lower("kv.key").alias("key"), F.col("kv.value").alias("value"))
+    chosen = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).where(hinted(F.col("text")))
+    part = lambda k, e: F.regexp_extract("found", CONTEXT, k if e else k + 2)
+    either = lambda k: F.when(part(2, True) != "", part(k, True)).otherwise(part(k, False))
+    rows = chosen.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(CONTEXT), F.lit(0))).alias("p", "found"))
+    rows = rows.select("doc_id", (F.col("p") + 1).alias("place"), F.lower(either(1)).alias("key"), either(2).alias("value"))
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[float, str]] = {}
         for b in batches:
-            got = [guess(v) for v in b.column(3).to_pylist()]
+            got = [guess(v, known) for v in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([round(c, 6) for c, _ in got], pa.float64()), pa.array([k for _, k in got], pa.string())], names=[*b.schema.names, "log10_guesses", "segments"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -210,15 +232,16 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     return costed.select("doc_id", "place", "key", F.sha2("value", 256).alias("value_sha256"), "log10_guesses", "segments", (F.col("log10_guesses") >= threshold).alias("secret"))
 
 
-def redact_text(text: str | None, threshold: float = THRESHOLD, context: re.Pattern | None = None) -> str | None:
+def redact_text(text: str | None, threshold: float = THRESHOLD, context: re.Pattern | None = None, known: dict[str, tuple[float, str]] | None = None) -> str | None:
     """text with each secret value replaced by [REDACTED]; everything else unchanged."""
     if text is None:
         return None
 
     def change(m: re.Match) -> str:
-        if guess(m[2])[0] < threshold:
+        k = 2 if m[2] is not None else 4
+        if guess(m[k], known)[0] < threshold:
             return m[0]
-        return m[0][: m.start(2) - m.start()] + "[REDACTED]"
+        return m[0][: m.start(k) - m.start()] + "[REDACTED]"
 
     return (context or re.compile(CONTEXT)).sub(change, text)
 
@@ -230,14 +253,14 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "
     """
 
     def change(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        context = re.compile(CONTEXT)
+        context, known = re.compile(CONTEXT), {}
         for texts in batches:
-            yield pa.array([redact_text(t, threshold, context) for t in texts.to_pylist()], pa.string())
+            yield pa.array([redact_text(t, threshold, context, known) for t in texts.to_pylist()], pa.string())
 
     change.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     clean = F.arrow_udf("string")(change)
     text = F.col(text_col)
-    out = docs.withColumn(text_col, F.coalesce(clean(F.when(text.rlike(CONTEXT), text)), text))
+    out = docs.withColumn(text_col, F.coalesce(clean(F.when(hinted(text) & text.rlike(CONTEXT), text)), text))
     if length_col and length_col in docs.columns:
         out = out.withColumn(length_col, F.when(F.col(length_col).isNotNull(), F.length(text_col).cast(docs.schema[length_col].dataType)))
     return out
