@@ -19,13 +19,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepwright.llm.common import map_batches, once, written
+from stepwright.llm.common import map_batches, once, text_bytes, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bytes of text that are tokenised at once: the more, the fewer parts differ.
 SLICE = 8_000_000
 #: The pattern that splits text before the merges of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: What \s is in the pattern: the white space of Unicode (in Arrow's expressions it is ASCII only).
+SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def merges(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -36,38 +38,65 @@ def tokenizer(path: str = VOCABULARY):
     """Returns text array -> (ids of all texts, offsets of each text's).
 
     The pattern never joins a character with a space that follows it unless both are white space. So a text without
-    white space before a space is taken apart before each space, and each different part is tokenised once.
+    white space before a space is taken apart before each space, and each different part is tokenised once: the
+    different parts, each with its space, are one text for the tokeniser, and a token that begins with a space
+    begins a part.
     """
     import tiktoken
 
     coder = once(("coder", path), lambda: tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=merges(path), special_tokens={}))
+    spaced = np.zeros(1 << 16, bool)
+    spaced[[i for token, i in coder._mergeable_ranks.items() if token[:1] == b" "]] = True
+
+    def one(text: str) -> np.ndarray:
+        return coder.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+
+    def of_parts(parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each part with a space before it, and how many each has."""
+        alone = np.asarray(pc.match_substring_regex(parts, "^$|" + SPACE + "$"), dtype=bool)  # white space must not meet the next part's
+        raw, offsets = text_bytes(parts.filter(pa.array(~alone)))
+        joined = np.full(len(raw) + len(offsets) - 1, 32, np.uint8)
+        joined[np.arange(len(raw)) + np.repeat(np.arange(1, len(offsets)), np.diff(offsets))] = raw
+        ids = one(joined.tobytes().decode())
+        begins = np.flatnonzero(spaced[ids])
+        if len(begins) != len(offsets) - 1:
+            raise ValueError(f"{len(offsets) - 1} parts became {len(begins)}")
+        n = np.zeros(len(parts), np.int64)
+        n[~alone] = np.diff(np.append(begins, len(ids)))
+        if not alone.any():
+            return ids, n
+        rows = [one(" " + x) for x in parts.filter(pa.array(alone)).to_pylist()]
+        n[alone] = [len(r) for r in rows]
+        out = np.empty(int(n.sum()), np.int64)
+        of_alone = np.repeat(alone, n)
+        out[~of_alone], out[of_alone] = ids, np.concatenate(rows)
+        return out, n
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "").cast(pa.large_string())
-        plain = pc.invert(pc.match_substring_regex(texts, r"\s "))
+        plain = pc.invert(pc.match_substring_regex(texts, SPACE + " "))
         parts = pc.split_pattern(pc.if_else(plain, texts, ""), " ")
         offsets = np.asarray(parts.offsets, dtype=np.int64)
         offsets = offsets - offsets[0] if len(texts) else np.zeros(1, np.int64)
         coded = parts.flatten().dictionary_encode()
-        code = np.asarray(coded.indices, dtype=np.int64)
-        book = coded.dictionary.to_pylist()
-        # A part has a space before it unless it is its text's first: two entries of the table of parts.
-        first = np.zeros(len(code), bool)
-        first[offsets[:-1][np.diff(offsets) > 0]] = True
-        key, where = np.unique(code * 2 + first, return_inverse=True)
-        ids = coder.encode_ordinary_batch([book[k >> 1] if k & 1 else " " + book[k >> 1] for k in key.tolist()], num_threads=1)
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        table = np.fromiter((i for x in ids for i in x), np.int32, int(n.sum()))
+        where = np.array(coded.indices, dtype=np.int64)
+        # A text's first part has no space before it: these have entries of their own at the table's end.
+        begins = offsets[:-1][np.diff(offsets) > 0]
+        heads = [one(x) for x in coded.dictionary.take(pa.array(where[begins])).to_pylist()]
+        where[begins] = len(coded.dictionary) + np.arange(len(begins))
+        table, n = of_parts(coded.dictionary)
+        table = np.concatenate([table, *heads])
+        n = np.append(n, [len(x) for x in heads]).astype(np.int64)
         start = np.cumsum(n) - n
         each = n[where]
         before = np.concatenate([[0], np.cumsum(each)])
-        out = table[np.arange(int(each.sum())) - np.repeat(before[:-1], each) + np.repeat(start[where], each)]
+        out = table[np.arange(int(each.sum())) - np.repeat(before[:-1], each) + np.repeat(start[where], each)].astype(np.int32)
         edge = before[offsets]
         odd = np.flatnonzero(~np.asarray(plain))
         if len(odd):
             rows = [out[edge[k] : edge[k + 1]] for k in range(len(texts))]
-            for k, x in zip(odd, coder.encode_ordinary_batch(texts.take(pa.array(odd)).to_pylist(), num_threads=1), strict=True):
-                rows[k] = np.array(x, np.int32)
+            for k, x in zip(odd, texts.take(pa.array(odd)).to_pylist(), strict=True):
+                rows[k] = one(x).astype(np.int32)
             edge = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
             out = np.concatenate(rows)
         return out, edge
