@@ -9,7 +9,6 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 os.environ["PYTHONPATH"] = f"{ROOT}{os.pathsep}{os.environ.get('PYTHONPATH', '')}"
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -30,4 +29,4 @@ def spark(tmp_path_factory):
 def duck():
     import oracle
 
-    return oracle.connect(SF)
+    return oracle.connect(oracle.SF)

@@ -2,7 +2,7 @@ import importlib
 import subprocess
 import sys
 
-from conftest import ROOT
+from oracle import ROOT
 
 
 def test_imports_without_a_session():

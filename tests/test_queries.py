@@ -2,7 +2,7 @@
 
 import oracle
 import pytest
-from conftest import SF
+from oracle import SF
 
 from stepwright import catalog
 
