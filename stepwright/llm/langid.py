@@ -37,9 +37,9 @@ FLOOR = 1e-6
 #: Bytes of text, and different words, that are scored at once.
 SLICE = 6_000_000
 WORDS_AT_ONCE = 15_000
-#: A document is rejected if its best language gives less than MIN_SCORE nats a byte ...
-MIN_SCORE = -6.0
-#: ... or the second best is nearer than MIN_MARGIN nats a byte.
+#: A document is rejected if its best language is not MIN_LEAD nats a byte ahead of the background, in which all pieces are equally likely ...
+MIN_LEAD = 0.0
+#: ... or the second best language is nearer than MIN_MARGIN nats a byte.
 MIN_MARGIN = 0.01
 
 
@@ -257,9 +257,10 @@ def train(docs: DataFrame, path: str = VOCABULARY, per_language: int = TRAIN_DOC
 
 
 def scorer(model: Model):
-    """Returns text array -> (best language's place or -1, its nats a byte, margin to the second, bytes)."""
+    """Returns text array -> (best language's place or -1, its nats a byte, margin to the second, lead over the background, bytes)."""
     trie = trie_of(model.pieces)
-    p = model.probabilities
+    n_languages = len(model.languages)
+    p = np.column_stack([model.probabilities, np.full(len(model.pieces), 1 / len(model.pieces))])
 
     def score(texts: pa.Array):
         words = pc.utf8_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
@@ -287,24 +288,25 @@ def scorer(model: Model):
             for k in range(p.shape[1]):
                 total[some, k] = np.add.reduceat(value[codes, k], at)
         rate = total / np.maximum(length, 1.0)[:, None]
+        rate, background = rate[:, :n_languages], rate[:, n_languages]
         order = np.sort(rate, axis=1)
         best = np.where(length > 0, rate.argmax(1), -1)
-        margin = order[:, -1] - order[:, -2] if p.shape[1] > 1 else np.full(n, np.inf)
-        return best, order[:, -1], margin, length
+        margin = order[:, -1] - order[:, -2] if n_languages > 1 else np.full(n, np.inf)
+        return best, order[:, -1], margin, order[:, -1] - background, length
 
     return score
 
 
-def accepted(best, score, margin) -> np.ndarray:
-    """Texts with at least one word whose best language is plausible and ahead of the second."""
-    return (best >= 0) & (score >= MIN_SCORE) & (margin >= MIN_MARGIN)
+def accepted(best, margin, lead) -> np.ndarray:
+    """Texts with at least one word whose best language is ahead of the background and of the second."""
+    return (best >= 0) & (lead >= MIN_LEAD) & (margin >= MIN_MARGIN)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, language (null if rejected for want of words), score, margin, accepted.
+    """One row for each row of docs: doc_id, language (null if rejected for want of words), score, margin, lead, accepted.
 
-    score is nats a byte of the best language, margin its lead. A null, empty or blank text, or one without a letter,
-    has language null, score and margin 0 and is not accepted. Null ids stay null; repeated rows each get a row; ties go to the
+    score is nats a byte of the best language, margin its distance from the second, lead that from the background. A null, empty or blank text, or one without a letter,
+    has language null, score, margin and lead 0 and is not accepted. Null ids stay null; repeated rows each get a row; ties go to the
     language first in alphabetical order; texts of any length are scored whole; an empty table gives no rows.
     Other columns of docs are not looked at, whatever their names.
     """
@@ -314,18 +316,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         names = np.array([*model.languages, None], dtype=object)
 
         def kernel(batch: pa.RecordBatch):
-            best, rate, margin, length = score(batch.column(1))
-            some = length > 0
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names[best], pa.string()), pa.array(np.round(np.where(some, rate, 0.0), 9)), pa.array(np.round(np.where(some, np.minimum(margin, 1e6), 0.0), 9)), pa.array(accepted(best, rate, margin))],
-                names=["doc_id", "language", "score", "margin", "accepted"],
-            )
+            best, rate, margin, lead, length = score(batch.column(1))
+            numbers = [pa.array(np.round(np.where(length > 0, np.minimum(x, 1e6), 0.0), 9)) for x in (rate, margin, lead)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), *numbers, pa.array(accepted(best, margin, lead))], names=["doc_id", "language", "score", "margin", "lead", "accepted"])
 
         return kernel
 
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(chosen, make, f"doc_id {kind}, language string, score double, margin double, accepted boolean", "text", SLICE)
+    return map_batches(chosen, make, f"doc_id {kind}, language string, score double, margin double, lead double, accepted boolean", "text", SLICE)
 
 
 def keep_accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -336,8 +335,8 @@ def keep_accepted(docs: DataFrame, model: Model, text_col: str = "text") -> Data
         score = scorer(model)
 
         def kernel(batch: pa.RecordBatch):
-            best, rate, margin, _ = score(batch.column(place))
-            yield batch.filter(pa.array(accepted(best, rate, margin)))
+            best, _, margin, lead, _ = score(batch.column(place))
+            yield batch.filter(pa.array(accepted(best, margin, lead)))
 
         return kernel
 
