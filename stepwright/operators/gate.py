@@ -72,11 +72,14 @@ def best_chains(variants: DataFrame, judges: list[str], floor: float, most: int
 def diverse(chains: DataFrame, kind: str, score: str, key: str, most: int) -> DataFrame:
     """The best chain of each kind first, then the others, by score; place counts from 1."""
     first = F.row_number().over(Window.partitionBy(kind).orderBy(F.col(score).desc(), key))
-    place = F.row_number().over(Window.orderBy(F.col("_again"), F.col(score).desc(), key))
-    return chains.withColumn("_again", (first > 1).cast("int")).withColumn("place", place).where(F.col("place") <= most).drop("_again")
+    order = (F.col("_again"), F.col(score).desc(), F.col(key))
+    best = chains.withColumn("_again", (first > 1).cast("int")).orderBy(*order).limit(most)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(*order))).drop("_again")
 
 
 def capped(chains: DataFrame, order: str, n: str, most: int) -> DataFrame:
     """Chains in order until `most` steps are taken; `taken` says how many of a chain's steps, the last being cut."""
+    # Each chain takes a step at least: the first `most` chains hold all that are taken.
+    chains = chains.where(F.col(n) > 0).orderBy(order).limit(most)
     before = F.coalesce(F.sum(n).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return chains.withColumn("taken", F.least(F.col(n), F.lit(most) - before)).where("taken > 0")

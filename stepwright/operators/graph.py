@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stepwright.functions import arrays as A
 from stepwright.functions.labels import clip01, hardness
 from stepwright.functions.sampling import exponential_key, uniform
-from stepwright.operators.keys import dense_index
+from stepwright.operators.keys import dense_index, sum_before
 from stepwright.storage import written
 
 
@@ -57,12 +57,7 @@ def csr_offsets(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, degree and offset of its first edge when edges are laid out by node; nodes without edges have degree 0."""
     degree = edges.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("degree"))
     full = nodes.select("node").join(degree, "node", "left").fillna(0, ["degree"])
-    # Two levels: running sums within ranges of nodes, and of the ranges' totals, so that no window holds all nodes.
-    block = full.withColumn("_b", F.floor(F.col("node") / 65_536))
-    total = block.groupBy("_b").agg(F.sum("degree").alias("_n"))
-    base = total.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    own = F.coalesce(F.sum("degree").over(Window.partitionBy("_b").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return block.withColumn("_own", own).join(F.broadcast(base), "_b").select("node", "degree", (F.col("_own") + F.col("_base")).alias("offset"))
+    return sum_before(full, ["node"], "degree", "offset").select("node", "degree", "offset")
 
 
 def walks(edges: DataFrame, clips: DataFrame, n: int, longest: int = 6, least: int = 1, seed: int = 13, mu: float = 0.7, sigma: float = 0.75) -> DataFrame:

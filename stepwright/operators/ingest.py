@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepwright.functions.labels import hallucination
 from stepwright.functions.text import strip
+from stepwright.operators.keys import sum_before
 
 
 def drop_reason(caption: Column, tags: Column, audio_exists: Column, missing_caption: bool = True, missing_tags: bool = False, missing_audio: bool = False) -> Column:
@@ -31,11 +32,9 @@ def group_split(df: DataFrame, group: str, seed: int = 13, train: float = 0.90,
     """
     g = F.coalesce(F.nullif(strip(F.col(group)), F.lit("")), F.lit("__unknown__"))
     sizes = df.groupBy(g.alias("_g")).agg(F.count("*").alias("_n")).withColumn("_h", F.sha1(F.concat_ws(":", F.lit(str(seed)), "_g")))
-    before = Window.orderBy("_h", "_g").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("_h", "_g").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = sizes.withColumns({"_pre": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_total": F.sum("_n").over(everything)})
-    s = s.withColumn("_train", F.col("_pre") < F.floor(F.col("_total") * train))
-    s = s.withColumn("_trained", F.sum(F.when(F.col("_train"), F.col("_n")).otherwise(0)).over(everything))
+    s = sum_before(sizes, ["_h", "_g"], "_n", "_pre")
+    s = s.crossJoin(F.broadcast(sizes.agg(F.sum("_n").alias("_total")))).withColumn("_train", F.col("_pre") < F.floor(F.col("_total") * train))
+    s = s.crossJoin(F.broadcast(s.agg(F.coalesce(F.sum(F.when(F.col("_train"), F.col("_n"))), F.lit(0)).alias("_trained"))))
     s = s.withColumn("split", F.when(F.col("_train"), "train").when(F.col("_pre") - F.col("_trained") < F.floor(F.col("_total") * val), "val").otherwise("test"))
     return df.withColumn("_g", g).join(s.select("_g", "split"), "_g").drop("_g")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepwright.storage import written
+
 
 def _first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -36,16 +38,35 @@ def distinct_with_ordinal(df: DataFrame, keys: list[str], order: list[str], valu
     return first_by(ordinal(df, keys, order, name), [*keys, value], [name])
 
 
-def dense_index(df: DataFrame, order: list[str], name: str = "row_idx") -> DataFrame:
-    """0, 1, 2, ... in the order of the given columns, without a single-partition window.
+def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """df in ranges of the order, written: _part is a row's range and _local its place there, from 0.
 
-    Rows are range-partitioned; each partition's count gives the next one's base. The counts are small: one row a partition.
+    The number of ranges is fixed, so that no later plan merges some of them; the written table keeps them as they are
+    if executors are lost.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    ordered = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    counts = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
-    base = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    return ordered.join(F.broadcast(base), "_part").withColumn(name, (F.col("_local") + F.col("_base")).cast("long")).drop("_part", "_local", "_base")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.monotonically_increasing_id()  # the partition's number above the row's, in 33 bits
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", place)
+    return written(ranged.withColumns({"_part": F.shiftright("_m", 33).cast("int"), "_local": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_m"), "ranges")
+
+
+def _based(t: DataFrame, size: Column, local: str, name: str) -> DataFrame:
+    """name = local plus the sizes of all ranges before: one row for each range is broadcast."""
+    sizes = t.groupBy("_part").agg(size.alias("_size"))
+    base = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    return t.join(F.broadcast(base), "_part").withColumn(name, (F.col(local) + F.col("_base")).cast("long"))
+
+
+def dense_index(df: DataFrame, order: list[str], name: str = "row_idx") -> DataFrame:
+    """0, 1, 2, ... in the order of the given columns: no task holds more than one range of them."""
+    return _based(_ranged(df, order), F.count("*"), "_local", name).drop("_part", "_local", "_base")
+
+
+def sum_before(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """The sum of value over all rows before, in the order of the given columns: no task holds more than one range of them."""
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy("_local").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    t = _ranged(df, order).withColumn("_own", own)
+    return _based(t, F.sum(value), "_own", name).drop("_part", "_local", "_own", "_base")
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -56,7 +77,7 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str
 def balanced_order(df: DataFrame, stratum: str, order: str, name: str = "position") -> DataFrame:
     """Round robin over the strata in key order, each in its own order; numbered from 1."""
     within = df.withColumn("_turn", F.row_number().over(Window.partitionBy(stratum).orderBy(order)))
-    return within.withColumn(name, F.row_number().over(Window.orderBy("_turn", stratum))).drop("_turn")
+    return dense_index(within, ["_turn", stratum], name).withColumn(name, (F.col(name) + 1).cast("int")).drop("_turn")
 
 
 def coherent_prefix(df: DataFrame, chain: str, turn: str, ok: str) -> DataFrame:

@@ -64,10 +64,11 @@ def leakage(df: DataFrame, split: str, entity: str) -> DataFrame:
 
 
 def top_other(df: DataFrame, value: str, most: int = 8) -> DataFrame:
-    """n of the `most` frequent values and, as Other, of all the rest (and of a value of that name)."""
+    """n of the `most` frequent values and, as Other, of all the rest (and of null, and of a value of that name)."""
     counted = df.groupBy(value).agg(F.count("*").alias("n"))
-    ranked = counted.withColumn("_r", F.row_number().over(Window.orderBy(F.col("n").desc(), value)))
-    return ranked.groupBy(F.when(F.col("_r") <= most, F.col(value)).otherwise("Other").alias(value)).agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.col("n").desc(), value).limit(most).select(F.col(value).alias("_top"))
+    marked = counted.join(F.broadcast(top), F.col(value).eqNullSafe(F.col("_top")), "left")
+    return marked.groupBy(F.coalesce("_top", F.lit("Other")).alias(value)).agg(F.sum("n").alias("n"))
 
 
 def overview(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
