@@ -28,8 +28,8 @@ BLOCK = 65_536
 
 def tokens(text_col: str = "text"):
     """White-space tokens of a text, plus one for its end; null and blank texts have none."""
-    text = F.trim(F.regexp_replace(F.col(text_col).cast("string"), r"\s+", " "))
-    return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 2)
+    n = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"\S+")), F.lit(0))
+    return F.when(n == 0, 0).otherwise(n + 1)
 
 
 def plan(histogram: dict[int, int], context: int = CONTEXT) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
