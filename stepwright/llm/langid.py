@@ -39,8 +39,8 @@ SLICE = 6_000_000
 WORDS_AT_ONCE = 15_000
 #: A document is rejected if its best language is not MIN_LEAD nats a byte ahead of the background, in which all pieces are equally likely ...
 MIN_LEAD = 0.0
-#: ... or the second best language is nearer than MIN_MARGIN nats a byte.
-MIN_MARGIN = 0.01
+#: ... or the second best language is nearer than MIN_MARGIN nats a byte: texts half in one known language, half in another, stay.
+MIN_MARGIN = 0.0005
 
 
 @dataclass(frozen=True)
