@@ -60,3 +60,12 @@ def unit(v: Column) -> Column:
 def dot(a: Column, b: Column) -> Column:
     """Dot product; 0 if either is null."""
     return F.coalesce(F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
+
+
+def mean_pool(tokens: Column, mask: Column, truncate: int | None = None) -> Column:
+    """Unit mean of the token vectors whose mask is not 0; its first `truncate` values, again at unit length, if given. Null if no token counts."""
+    kept = F.filter(F.zip_with(tokens, mask, lambda t, m: F.when(m != 0, t)), lambda t: t.isNotNull())
+    total = F.aggregate(F.slice(kept, 2, 1 << 30), F.transform(F.try_element_at(kept, F.lit(1)), lambda x: x.cast("double")), lambda s, t: F.zip_with(s, t, lambda a, b: a + b.cast("double")))
+    pooled = unit(F.transform(total, lambda x: x / F.size(kept)))
+    out = unit(F.slice(pooled, 1, truncate)) if truncate is not None else pooled
+    return F.when(F.size(kept) > 0, out)

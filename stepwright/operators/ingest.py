@@ -69,3 +69,31 @@ def lyric_state(vocals: Column, transcript: Column, failed: Column, allowed: tup
 def reusable(status: Column, vocals: Column, lyrics: Column, allowed: tuple[str, ...] = ("vocal",)) -> Column:
     """Whether a previous result is still right: ok or empty, and passing the present filters."""
     return status.isin("ok", "empty") & F.lower(strip(vocals)).isin(*allowed) & hallucination(lyrics).isNull()
+
+
+def tag_groups(genres: Column, instruments: Column, others: Column) -> Column:
+    """The nested record of a source's tags, missing groups being empty."""
+    none = F.array().cast("array<string>")
+    return F.struct(*(F.coalesce(c, none).alias(n) for n, c in (("genres", genres), ("instruments", instruments), ("vartags", others))))
+
+
+def mapped(df: DataFrame, fields: dict[str, str], tags: Column, more: list[str] | None = None) -> DataFrame:
+    """Canonical columns from a source's field names: text fields stripped, null as empty; tags are the groups of tag_groups() in one list.
+
+    A field that df lacks is empty, so that sources need not have all of them.
+    """
+    known = set(df.columns)
+    texts = [(strip(F.col(f"`{source}`")) if source in known else F.lit("")).alias(name) for name, source in fields.items()]
+    whole = F.filter(F.concat(tags["genres"], tags["instruments"], tags["vartags"]), lambda t: strip(t) != "")
+    return df.select(*(more or []), *texts, F.array_distinct(F.transform(whole, strip)).alias("tags"))
+
+
+def snapshot(fields: dict[str, Column]) -> Column:
+    """A JSON object of the fields that are not empty, in the given order."""
+    return F.to_json(F.struct(*(F.nullif(strip(c), F.lit("")).alias(n) for n, c in fields.items())))
+
+
+def text_changes(source: Column, target: Column) -> dict[str, Column]:
+    """Aggregates over pairs of texts: with a source, with a target, both, changed, added, removed."""
+    s, t = strip(source) != "", strip(target) != ""
+    return {"with_source": F.count_if(s), "with_target": F.count_if(t), "with_both": F.count_if(s & t), "changed": F.count_if(s & t & (strip(source) != strip(target))), "added": F.count_if(~s & t), "removed": F.count_if(s & ~t)}
