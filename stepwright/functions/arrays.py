@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,10 +53,14 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once: a lambda's body is computed anew for each element, and with it what it takes from outside."""
+    return F.transform(F.array(value), f)[0]
+
+
 def unit(v: Column) -> Column:
     """v over its length, which counts as at least 1e-12."""
-    n = F.greatest(norm(v), F.lit(1e-12))
-    return F.transform(v, lambda x: x.cast("double") / n)
+    return let(F.struct(v.alias("v"), F.greatest(norm(v), F.lit(1e-12)).alias("n")), lambda s: F.transform(s["v"], lambda x: x.cast("double") / s["n"]))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -65,7 +71,8 @@ def dot(a: Column, b: Column) -> Column:
 def mean_pool(tokens: Column, mask: Column, truncate: int | None = None) -> Column:
     """Unit mean of the token vectors whose mask is not 0; its first `truncate` values, again at unit length, if given. Null if no token counts."""
     kept = F.filter(F.zip_with(tokens, mask, lambda t, m: F.when(m != 0, t)), lambda t: t.isNotNull())
-    total = F.aggregate(F.slice(kept, 2, 1 << 30), F.transform(F.try_element_at(kept, F.lit(1)), lambda x: x.cast("double")), lambda s, t: F.zip_with(s, t, lambda a, b: a + b.cast("double")))
-    pooled = unit(F.transform(total, lambda x: x / F.size(kept)))
-    out = unit(F.slice(pooled, 1, truncate)) if truncate is not None else pooled
-    return F.when(F.size(kept) > 0, out)
+    first = lambda k: F.transform(F.try_element_at(k, F.lit(1)), lambda x: x.cast("double"))
+    total = lambda k: F.aggregate(F.slice(k, 2, 1 << 30), first(k), lambda s, t: F.zip_with(s, t, lambda a, b: a + b.cast("double")))
+    # The length of a sum is that of the mean up to a factor: both have the same unit vector.
+    pooled = let(kept, lambda k: unit(total(k)))
+    return unit(F.slice(pooled, 1, truncate)) if truncate is not None else pooled

@@ -39,16 +39,15 @@ def fuzzy_difference(source: Column, target: Column, terms: int = 8, most_phrase
     """struct of added, removed and shared terms and phrases, in order of appearance, each once, the first few."""
     st, tt, sp, tp = content_tokens(source), content_tokens(target), phrases(source), phrases(target)
 
-    def outside(a: Column, b: Column) -> Column:
-        return F.filter(a, lambda x: ~F.array_contains(b, x))
-
-    def inside(a: Column, b: Column) -> Column:
-        return F.filter(a, lambda x: F.array_contains(b, x))
-
-    return F.struct(
-        dedupe(outside(tt, st), terms).alias("added_terms"), dedupe(outside(st, tt), terms).alias("removed_terms"), dedupe(inside(tt, st), terms).alias("shared_terms"),
-        dedupe(outside(tp, sp), most_phrases).alias("added_phrases"), dedupe(outside(sp, tp), most_phrases).alias("removed_phrases"), dedupe(inside(tp, sp), most_phrases).alias("shared_phrases"),
-    )
+    def differ(x: Column) -> Column:
+        # Both functions keep the first array's order and each item once.
+        out, both = F.array_except, F.array_intersect
+        return F.struct(
+            dedupe(out(x["tt"], x["st"]), terms).alias("added_terms"), dedupe(out(x["st"], x["tt"]), terms).alias("removed_terms"), dedupe(both(x["tt"], x["st"]), terms).alias("shared_terms"),
+            dedupe(out(x["tp"], x["sp"]), most_phrases).alias("added_phrases"), dedupe(out(x["sp"], x["tp"]), most_phrases).alias("removed_phrases"), dedupe(both(x["tp"], x["sp"]), most_phrases).alias("shared_phrases"),
+        )
+
+    return A.let(F.struct(st.alias("st"), tt.alias("tt"), sp.alias("sp"), tp.alias("tp")), differ)
 
 
 def refreshed(delta_source: Column, delta_target: Column, source: Column, target: Column) -> Column:
