@@ -81,4 +81,4 @@ def oracle_sql() -> dict[str, str]:
                   + CASE WHEN n % {chunk} > 0 THEN length(printf('%x', n % {chunk})) + 4 ELSE 0 END + 5 AS total FROM p)
     SELECT page_id, url, CAST((total + {segment - 1}) // {segment} AS INTEGER) AS segments, CAST(total AS BIGINT) AS length,
            'ok' AS status, CAST(200 AS INTEGER) AS http_status, html FROM q"""
-    return {"op1_warc_reassembly": op1, "op4_license_rules": licenses.oracle_sql()}
+    return {"op1_warc_reassembly": op1, "op4_license_rules": licenses.oracle_sql(), "op9_chat_windows": chatwin.oracle_sql()}

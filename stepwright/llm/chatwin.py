@@ -90,3 +90,30 @@ def _windows_of(batch: pa.RecordBatch, budget: int, history: int, history_tokens
     kinds = [batch.schema.field(0).type, pa.int32(), pa.int32(), batch.schema.field(1).type.value_type.field("turn").type, pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.bool_()]
     names = ["conv_id", "window", "place", "turn", "role", "tokens", "repeated", "target", "window_tokens", "over_budget"]
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=names)
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL of windows() over conversations: t[i + 1] is the sum of a conversation's first i turns."""
+    earlier = ", ".join(f"s.stop - {k}" for k in range(HISTORY, 0, -1))
+    stop = "CAST(least(n, greatest(start + 1, len(list_filter(t, lambda x: x <= t[back + 1] + room)) - 1)) AS BIGINT)"
+    return f"""
+    WITH RECURSIVE one AS (
+      SELECT conv_id, turn, role, CAST({FRAME} + CASE WHEN w > 0 THEN w + 1 ELSE 0 END AS INTEGER) AS tokens
+      FROM (SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^\\t-\\r ]+')) AS w FROM conversations) WHERE conv_id IS NOT NULL),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, tokens) - 1 AS k FROM one),
+    conv AS (SELECT conv_id, count(*) AS n, coalesce(min(k) FILTER (WHERE role IS DISTINCT FROM 'system'), count(*)) AS lead_n FROM numbered GROUP BY conv_id),
+    sums AS (SELECT conv_id, k, sum(tokens) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM numbered),
+    lists AS (SELECT conv_id, n, lead_n, t, greatest({BUDGET} - t[lead_n + 1], 0) AS room
+              FROM conv JOIN (SELECT conv_id, list_prepend(0, list(upto ORDER BY k)) AS t FROM sums GROUP BY conv_id) USING (conv_id)),
+    steps AS (
+      SELECT conv_id, 0 AS w, back, start, {stop} AS stop FROM (SELECT *, lead_n AS back, lead_n AS start FROM lists)
+      UNION ALL
+      SELECT conv_id, w + 1, back, start, {stop} FROM (
+        SELECT s.conv_id, s.w, l.n, l.t, l.room, s.stop AS start,
+               coalesce(list_filter([{earlier}], lambda b: b >= l.lead_n AND l.t[s.stop + 1] - l.t[b + 1] <= {HISTORY_TOKENS} AND l.t[s.stop + 2] - l.t[b + 1] <= l.room)[1], s.stop) AS back
+        FROM steps s JOIN lists l ON l.conv_id = s.conv_id WHERE s.stop < l.n)),
+    taken AS (SELECT s.conv_id, s.w, u.k, u.turn, u.role, u.tokens, (u.k < lead_n AND s.w > 0) OR (u.k >= lead_n AND u.k < s.start) AS repeated
+              FROM steps s JOIN lists l ON l.conv_id = s.conv_id JOIN numbered u ON u.conv_id = s.conv_id AND (u.k < lead_n OR (u.k >= s.back AND u.k < s.stop)))
+    SELECT conv_id, CAST(w AS INTEGER) AS "window", CAST(row_number() OVER (PARTITION BY conv_id, w ORDER BY k) - 1 AS INTEGER) AS place, turn, role, tokens, repeated,
+           coalesce(role = 'assistant', false) AND NOT repeated AS target, CAST(sum(tokens) OVER (PARTITION BY conv_id, w) AS INTEGER) AS window_tokens,
+           sum(tokens) OVER (PARTITION BY conv_id, w) > {BUDGET} AS over_budget FROM taken"""
