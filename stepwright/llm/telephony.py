@@ -89,6 +89,26 @@ def resample(pcm: np.ndarray, up: int, down: int) -> np.ndarray:
     return np.clip(np.rint(out), -32768, 32767).astype(np.int16)
 
 
+def resample_all(signals: list[np.ndarray | None], up: int, down: int) -> list[np.ndarray | None]:
+    """resample() of each signal: they are laid on one line with zeros between them, so that no filter reaches two."""
+    some = [k for k, x in enumerate(signals) if x is not None and len(x)]
+    if up == down or not some:
+        return list(signals)
+    gap = int(np.ceil(ZEROS / min(1.0, up / down))) + 2
+    length = np.array([len(signals[k]) for k in some])
+    # Starts are multiples of `down`: each signal begins at the filter's first phase.
+    start = np.concatenate([[0], np.cumsum(-(-(length + gap) // down) * down)])
+    line = np.zeros(int(start[-1]), np.int16)
+    for k, s in zip(some, start, strict=False):
+        line[s : s + len(signals[k])] = signals[k]
+    whole = resample(line, up, down)
+    out = list(signals)
+    for k, s, n in zip(some, start, length, strict=False):
+        at = s * up // down
+        out[k] = whole[at : at + -(-n * up // down)]
+    return out
+
+
 def decode(codec: list, payload: list, block_align: int) -> list[np.ndarray | None]:
     """PCM of each payload. ADPCM blocks of all payloads are decoded together; a last, shorter block is filled up and cut."""
     out: list[np.ndarray | None] = [None] * len(codec)
@@ -130,7 +150,7 @@ def to_pcm(audio: DataFrame, keys: list[str], codec_col: str = "codec", payload_
     def make():
         def kernel(batch: pa.RecordBatch):
             codec = batch.column(len(keys)).to_pylist()
-            pcm = [None if x is None else resample(x, up, down) for x in decode(codec, batch.column(len(keys) + 1).to_pylist(), block_align)]
+            pcm = resample_all(decode(codec, batch.column(len(keys) + 1).to_pylist(), block_align), up, down)
             columns = [*batch.columns[: len(keys)], batch.column(len(keys)), pa.array([rate_out] * len(codec), pa.int32())]
             columns += [pa.array([None if x is None else len(x) for x in pcm], pa.int64()), pa.array([None if x is None else x.astype("<i2").tobytes() for x in pcm], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keys, "codec", "sample_rate", "n_samples", "pcm"])

@@ -78,6 +78,15 @@ def test_resample_equals_brute_force():
     assert np.abs(T.resample(tone, 2, 1)[100:-100] - want[100:-100]).max() < 60
 
 
+def test_resample_all_equals_one_by_one():
+    rng = np.random.default_rng(5)
+    for up, down in ((2, 1), (1, 2), (3, 2), (2, 3), (441, 80), (1, 1)):
+        signals = [None if n is None else rng.integers(-32768, 32767, n).astype(np.int16) for n in (5, 0, None, 40, 1, 77, 3)]
+        for got, x in zip(T.resample_all(signals, up, down), signals, strict=True):
+            assert (got is None) == (x is None) and (x is None or np.array_equal(got, T.resample(x, up, down)))
+    assert T.resample_all([], 2, 1) == [] and T.resample_all([None], 2, 1) == [None]
+
+
 def test_column(spark):
     rng = random.Random(4)
     rows = [(1, "mulaw", rng.randbytes(500), 3), (2, "alaw", rng.randbytes(10), 3), (3, "adpcm", rng.randbytes(700), 3), (4, "opus", b"x", 3), (5, "mulaw", None, 3), (6, "adpcm", b"", 3), (None, "mulaw", b"\x00", 3), (7, None, b"a", 3), (8, "mulaw", bytes(3_000_000), 3), (1, "mulaw", b"\xff", 3)]
