@@ -30,7 +30,7 @@ GENRES: tuple[tuple[str, str], ...] = (
 )
 RELATIVE_CUES = ("again", "bring back", "but", "instead", "keep", "less", "like", "more", "same", "still", "without")
 POLITE = r"(?i)\b(please|could\s+you|can\s+you|i['’]d\s+like|i\s+would\s+like|i\s+want)\b"
-MOST_WORDS = {"short": 7, "medium": 12, "long": 18}
+MOST_WORDS = dict(short=7, medium=12, long=18)
 AXES = tuple("energy genre_style instrumentation mood other rhythm speed texture_production theme_or_language vocal_style_or_gender".split())
 SUSPICIOUS = ("thank you", "you", "bye")
 SUSPICIOUS_ENDS = ("you",)
@@ -47,7 +47,7 @@ def clip_key(track: Column, start: Column, end: Column, ordinal: Column) -> Colu
 
 def file_stem(c: Column) -> Column:
     """A safe file name: odd characters become _, at most 80 characters, then __ and 12 digits of the SHA-1."""
-    safe = F.regexp_replace(F.regexp_replace(text(c), r"[^A-Za-z0-9._-]+", "_"), r"^[._]+|[._]+$", "")
+    safe = F.regexp_replace(F.regexp_replace(text(c), r"[^-._A-Za-z0-9]+", "_"), r"^[._]+|[._]+$", "")
     return F.concat(F.left(safe, F.lit(80)), F.lit("__"), F.substring(F.sha1(text(c)), 1, 12))
 
 
@@ -136,7 +136,7 @@ def normalise_axes(a: Column) -> Column:
 
 def style_error(instruction: Column, verbosity: Column) -> Column:
     """non_imperative_request_frame, too_wordy_<n>_words, or null."""
-    n = F.regexp_count(text(instruction), F.lit("[A-Za-z0-9][A-Za-z0-9'’_-]*"))
+    n = F.regexp_count(text(instruction), F.lit("[0-9A-Za-z][-0-9A-Za-z_'’]*"))
     most = F.element_at(F.create_map(*(F.lit(x) for kv in MOST_WORDS.items() for x in kv)), F.lower(strip(verbosity)))
     return F.when(text(instruction).rlike(POLITE), "non_imperative_request_frame").when(n > most, F.concat(F.lit("too_wordy_"), n.cast("string"), F.lit("_words")))
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 STOPWORDS = tuple("with up to this their the that or on of its it is into in from for by but be at as are and an a".split())
-TOKEN = "[a-z0-9]+(?:[-'][a-z0-9]+)?"
+TOKEN = "[0-9a-z]+(?:['-][0-9a-z]+)?"
 WORD = "[A-Za-z0-9']+"
-WORD_LONG = "[A-Za-z0-9][A-Za-z0-9'’_-]*"
+WORD_LONG = "[0-9A-Za-z][-0-9A-Za-z_'’]*"
 OUTER = r".,;:!?\"'()\[\]{}"
 
 
@@ -27,7 +27,7 @@ def strip(c: Column) -> Column:
 
 def normalise_tag(c: Column) -> Column:
     """Lower case, only a-z, 0-9, hyphens and single spaces."""
-    return strip(F.regexp_replace(F.regexp_replace(F.lower(text(c)), r"[^a-z0-9\-\s]", ""), r"\s+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(F.lower(text(c)), r"[^-a-z0-9\s]", ""), r"\s+", " "))
 
 
 def normalise_caption(c: Column, strip_outer: bool = False) -> Column:

@@ -130,7 +130,7 @@ def precheck(instruction: Column, change_terms: Column, has_metadata: Column, aw
         F.when((F.length(t) < least) | ~has_relative_cue(t), "format"),
         F.when((F.size(change_terms) > 0) & (term_hits(t, change_terms) == 0), "no_genuine_change"),
         F.when(caption_only & (((F.size(typed_terms) > 0) & (term_hits(t, typed_terms) == 0)) | ((F.size(typed_terms) == 0) & (F.size(raw_terms) > 0) & (term_hits(t, raw_terms) == 0))), "caption_only_ungrounded"),
-        F.when(~has_metadata & low.rlike(r"\b(artist|band|singer|album|\d{4})\b"), "metadata_invention"),
+        F.when(~has_metadata & low.rlike(r"\b(\d{4}|album|singer|band|artist)\b"), "metadata_invention"),
     ]
     if not aware:
         reasons.append(F.when(F.contains(low, F.lit("as before")), "requires_history"))

@@ -129,7 +129,7 @@ def generated(df: DataFrame, prompt: str, model: Generator, name: str, batch: in
 
 def parameters_b(model_name: str) -> float:
     """Billions of parameters that a model's name states, the largest of several; 0 if none."""
-    return max((float(x) for x in re.findall(r"(\d+(?:\.\d+)?)\s*b(?![a-z])", model_name.lower())), default=0.0)
+    return max((float(x) for x in re.findall(r"([0-9]+[.]?[0-9]*) *b(?![a-z])", model_name.lower())), default=0.0)
 
 
 def backend(model_name: str, gpu_gb: list[float], bytes_each: float = 2.0) -> str:

@@ -44,7 +44,7 @@ def content_tokens(spark, sf):
 
 
 @query("""SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9'']+')) AS INTEGER) AS words,
-CAST(len(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9''’_-]*')) AS INTEGER) AS long_words,
+CAST(len(regexp_extract_all(text, '[0-9A-Za-z][-0-9A-Za-z_''’]*')) AS INTEGER) AS long_words,
 array_to_string(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z0-9'']+'), ' ') AS phrase FROM documents""")
 def word_counts(spark, sf):
     return B.table(spark, sf, "documents").select("doc_id", X.word_count(F.col("text")).alias("words"), X.word_count(F.col("text"), X.WORD_LONG).alias("long_words"), X.phrase(_CAPTION()).alias("phrase"))
@@ -150,7 +150,7 @@ def hardness_band(spark, sf):
 
 @query("""SELECT conv_id, turn, CASE WHEN regexp_matches(t, '(?i)\\b(please|could\\s+you|can\\s+you|i[''’]d\\s+like|i\\s+would\\s+like|i\\s+want)\\b') THEN 'non_imperative_request_frame'
 WHEN n > m THEN 'too_wordy_' || n || '_words' END AS error
-FROM (SELECT conv_id, turn, CASE WHEN turn = 1 THEN 'Please ' || text ELSE text END AS t, len(regexp_extract_all(CASE WHEN turn = 1 THEN 'Please ' || text ELSE text END, '[A-Za-z0-9][A-Za-z0-9''’_-]*')) AS n,
+FROM (SELECT conv_id, turn, CASE WHEN turn = 1 THEN 'Please ' || text ELSE text END AS t, len(regexp_extract_all(CASE WHEN turn = 1 THEN 'Please ' || text ELSE text END, '[0-9A-Za-z][-0-9A-Za-z_''’]*')) AS n,
 CASE turn % 4 WHEN 0 THEN 7 WHEN 1 THEN 12 WHEN 2 THEN 18 END AS m FROM conversations)""")
 def style_lint(spark, sf):
     t = F.when(F.col("turn") == 1, F.concat(F.lit("Please "), "text")).otherwise(F.col("text"))

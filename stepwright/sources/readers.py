@@ -88,7 +88,7 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
 def sidecar_key(path: Column) -> Column:
     """struct(chain, turn, variant) of a name chain__turn_N__variant_M__digest.json; null for another name."""
     name = F.substring_index(path, "/", -1)
-    pattern = r"^(.*)__turn_(\d+)__variant_(\d+)__[0-9a-f]+\.json$"
+    pattern = r"^(.*)__turn_(\d+)__variant_(\d+)__[a-f0-9]+[.]json$"
     part = lambda k: F.regexp_extract(name, pattern, k)
     return F.when(name.rlike(pattern), F.struct(part(1).alias("chain"), part(2).try_cast("int").alias("turn"), part(3).try_cast("int").alias("variant")))
 

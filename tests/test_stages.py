@@ -23,7 +23,7 @@ def sources(spark):
 def test_first_stages(spark, sources, tmp_path):
     r = Runner(spark, f"file://{tmp_path}", sources=sources)
     assert r.resume_at(["ingest", "caption_join"]) == "ingest"
-    report = r.run_all(["ingest", "caption_join", "lyrics", "structured_view", T.embeddings(M.HashEmbedder(8))])
+    report = r.run_all([*"ingest caption_join lyrics structured_view".split(), T.embeddings(M.HashEmbedder(8))])
     assert report["ingest"] == {"manifest": "made", "dropped": "made"}
     m = r.table("manifest")
     assert m.count() == 36 == m.select("clip_id").distinct().count()
