@@ -118,7 +118,7 @@ class Index:
         np.add.at(delta, first + k + 1, -1)
         return at[np.cumsum(delta[:-1]) > 0]
 
-    def candidates(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def candidates(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         """(item, lowest diagonal, marks) of the bands of raw with at least the item's bound; bands are 2 * (edits + 1) wide and overlap by half."""
         h = np.concatenate([codes(raw[p : p + Q]) for p in at]) if len(at) < 64 else codes(raw)[at]
         lo, hi = np.searchsorted(self.code, h, "left"), np.searchsorted(self.code, h, "right")

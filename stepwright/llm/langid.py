@@ -87,7 +87,7 @@ class Trie:
         keys = np.array(list(child), np.int64).reshape(-1, 2)
         self.next[self.row[keys[:, 0]], keys[:, 1]] = np.fromiter(child.values(), np.int32, len(child))
 
-    def edges(self, raw: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def edges(self, raw: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
         """All (start, stop, piece) that match raw[start:stop] with stop <= end[start]."""
         at = np.arange(len(raw), dtype=np.int64)
         node = np.ones(len(raw), np.int32)
@@ -117,7 +117,7 @@ def letter_runs(words: pa.Array) -> pa.Array:
     return pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(words), r"[^\p{L}\p{M}]+", " ")))
 
 
-def _laid(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _laid(words: pa.Array) -> tuple[np.ndarray, ...]:
     """Bytes of all words, the mark before each; the places of their starts; the length of each."""
     body, offsets = text_bytes(words)
     length = np.diff(offsets) + len(MARK)
