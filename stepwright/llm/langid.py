@@ -36,7 +36,7 @@ LONG = 64
 FLOOR = 1e-6
 #: Bytes of text, and different words, that are scored at once.
 SLICE = 6_000_000
-WORDS_AT_ONCE = 15_000
+WORDS_AT_ONCE = 6_000
 #: A document is rejected if its best language is not MIN_LEAD nats a byte ahead of the background, in which all pieces are equally likely ...
 MIN_LEAD = 0.0
 #: ... or the second best language is nearer than MIN_MARGIN nats a byte: texts half in one known language, half in another, stay.
