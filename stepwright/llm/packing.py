@@ -8,7 +8,8 @@ pieces are ranked within their length and take their slots by a join on length
 and rank. The plan equals best-fit decreasing over the single pieces.
 
 Ranks are in the order of (bucket, id, piece), bucket being a hash of the id,
-so that a length with very many pieces is ranked in RANK_BUCKETS parts at once.
+so that a length with very many pieces is ranked in many parts at once; there
+are a bucket for each BUCKET_ROWS pieces, and LEAST_BUCKETS at least.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from stepwright.llm.common import sized, written
 
 CONTEXT = 2048
-RANK_BUCKETS = 256
+LEAST_BUCKETS = 256
+BUCKET_ROWS = 2_000_000
 #: Ranks of one plan row: longer runs are cut, so that joins on the rank's block stay narrow.
 BLOCK = 65_536
 
@@ -100,7 +102,9 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cont
     empty table gives no rows. Other columns are not looked at.
     """
     spark = docs.sparkSession
-    cut = written(pieces(docs, id_col, text_col, context).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(RANK_BUCKETS)).cast("int")), "pieces")
+    cut = written(pieces(docs, id_col, text_col, context), "pieces")
+    buckets = max(LEAST_BUCKETS, cut.count() // BUCKET_ROWS)
+    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
     counts = written(cut.groupBy("length", "bucket").agg(F.count("*").alias("n")), "lengths")
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}
     runs, _ = plan(histogram, context)
@@ -113,7 +117,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cont
     below = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "bucket", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("base"))
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start")
-    ranked = cut.withColumn("r", F.row_number().over(within) - 1).join(sized(base, len(histogram) * RANK_BUCKETS), ["length", "bucket"])
+    ranked = cut.withColumn("r", F.row_number().over(within) - 1).join(sized(base, len(histogram) * buckets), ["length", "bucket"])
     ranked = ranked.withColumn("rank", F.col("r") + F.col("base")).withColumn("block", F.floor(F.col("rank") / BLOCK))
     placed = ranked.join(sized(slots, len(rows)), ["length", "block"]).where("rank >= rank_from and rank < rank_to")
     into = F.col("rank") - F.col("rank_from")
