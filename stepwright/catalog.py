@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stepwright.queries import agreement, chains, graphs, ingest, payloads, pools, reports, scalars, search, streams, views  # noqa: F401
+from stepwright.queries import agreement, chains, files, graphs, ingest, payloads, pools, reports, scalars, search, streams, views  # noqa: F401
 from stepwright.queries.registry import QUERIES, SQL
 
 
