@@ -18,6 +18,8 @@ THRESHOLD; placeholders and guessable values stay below it.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -30,8 +32,7 @@ from pyspark.sql import functions as F
 THRESHOLD = 10.0
 #: log10 cost of each segment after the first.
 SEGMENT = 0.5
-#: Values are cut by the pattern at this many characters: no credential is longer, and the rest is text.
-LONGEST = 512
+#: Fewest characters of a value after a key word; a value has no greatest length.
 SHORTEST = 6
 
 KEYS = ("password", "passwd", "passphrase", "pwd", "secret", "token", "api_key", "api-key", "apikey", "access_key", "access-key", "auth_key", "private_key", "credential", "credentials")
@@ -39,8 +40,8 @@ KEYS = ("password", "passwd", "passphrase", "pwd", "secret", "token", "api_key",
 PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "glpat-", "xoxb-", "xoxp-", "sk_live_")
 #: Groups 1 and 2, or 3 and 4: key word and value, or prefix and what follows it.
 CONTEXT = (
-    r"(?<![A-Za-z0-9])(?:(?i:((?:[a-z0-9]{1,32}[_-]){0,3}(?:" + "|".join(KEYS) + r"))[\"']?\s{0,4}[:=]\s{0,4}[\"']?([^\s\"'<>`,;]{" + f"{SHORTEST},{LONGEST}" + r"}))"
-    r"|(" + "|".join(PREFIXES) + r")([A-Za-z0-9_-]{16,255}))"
+    r"(?<![A-Za-z0-9])(?:(?i:((?:[a-z0-9]{1,32}[_-]){0,3}(?:" + "|".join(KEYS) + r"))[\"']?\s{0,4}[:=]\s{0,4}[\"']?([^\s\"'<>`,;]{" + f"{SHORTEST}," + r"}+))"
+    r"|(" + "|".join(PREFIXES) + r")([A-Za-z0-9_-]{16,}+))"
 )
 
 WORDS = (
@@ -100,23 +101,44 @@ def _date(part: str) -> float | None:
     return None
 
 
-def _walks(value: str) -> Iterator[tuple[int, int, float]]:
-    """(start, stop, log10 guesses) of runs of at least 3 neighbouring keys."""
+def _keyed(value: str) -> Iterator[tuple[int, int, list[int]]]:
+    """(start, stop, turns) of the longest runs of at least 3 neighbouring keys; turns[k] counts the turns up to the key k of the run."""
     keys = [_AT.get(_SHIFTED.get(c, c)) for c in value]
-    for i in range(len(value)):
-        turns, last = 0, None
-        for j in range(i + 1, len(value)):
-            if keys[j] is None or keys[j - 1] is None:
-                break
+    start, last, turns = 0, None, [0]
+    for j in range(1, len(value) + 1):
+        step = None
+        if j < len(value) and keys[j] is not None and keys[j - 1] is not None:
             step = (keys[j][0] - keys[j - 1][0], keys[j][1] - keys[j - 1][1])
             if step == (0, 0) or abs(step[0]) > 1 or abs(step[1]) > 1:
-                break
-            turns += step != last
-            last = step
-            if j - i >= 2:
-                shift = sum(c in _SHIFTED for c in value[i : j + 1])
-                extra = 0 if not shift else 0.3 if shift == j - i + 1 else math.log10(math.comb(j - i + 1, min(shift, j - i + 1 - shift)) + 1)
-                yield i, j + 1, math.log10(47 * (j - i)) + turns * math.log10(4) + extra
+                step = None
+        if step is None:
+            if j - start >= 3:
+                yield start, j, turns
+            start, turns = j, [0]
+        else:
+            turns.append(turns[-1] + (step != last))
+        last = step
+
+
+@functools.lru_cache(1 << 16)
+def _mixed(length: int, less: int) -> float:
+    if less <= 30:
+        return math.log10(math.comb(length, less) + 1)
+    return (math.lgamma(length + 1) - math.lgamma(less + 1) - math.lgamma(length - less + 1)) / math.log(10)
+
+
+def _walk_cost(length: int, turns: int, shift: int) -> float:
+    extra = 0 if not shift else 0.3 if shift == length else _mixed(length, min(shift, length - shift))
+    return math.log10(47 * (length - 1)) + turns * math.log10(4) + extra
+
+
+def _walks(value: str) -> Iterator[tuple[int, int, float]]:
+    """(start, stop, log10 guesses) of runs of at least 3 neighbouring keys."""
+    for start, stop, turns in _keyed(value):
+        shifts = list(itertools.accumulate((c in _SHIFTED for c in value[start:stop]), initial=0))
+        for i in range(stop - start):
+            for j in range(i + 3, stop - start + 1):
+                yield start + i, start + j, _walk_cost(j - i, 1 + turns[j - 1] - turns[i + 1], shifts[j] - shifts[i])
 
 
 def _brute(value: str) -> float:
@@ -129,6 +151,13 @@ def _brute(value: str) -> float:
 
 def patterns(value: str) -> Iterator[tuple[int, int, float, str]]:
     """(start, stop, log10 guesses, kind) of every pattern but brute force."""
+    yield from _fixed(value)
+    for i, j, cost in _walks(value):
+        yield i, j, cost, "walk"
+
+
+def _fixed(value: str) -> Iterator[tuple[int, int, float, str]]:
+    """patterns() of bounded length: words and dates."""
     n = len(value)
     for i in range(n):
         if value[i] in SEPARATORS:
@@ -145,8 +174,6 @@ def patterns(value: str) -> Iterator[tuple[int, int, float, str]]:
                 cost = _date(part)
                 if cost is not None:
                     yield m.start(), stop, cost, "date"
-    for i, j, cost in _walks(value):
-        yield i, j, cost, "walk"
 
 
 def guess(value: str, known: dict[str, tuple[float, str]] | None = None) -> tuple[float, str]:
@@ -159,23 +186,54 @@ def guess(value: str, known: dict[str, tuple[float, str]] | None = None) -> tupl
         return 0.0, ""
     alphabet = _brute(value)
     found: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
-    for i, j, cost, kind in patterns(value):
+    for i, j, cost, kind in _fixed(value):
         found[j].append((i, cost, kind))
-    for i, j, unit, times in _repeats(value):
-        inner = guess(unit, known)[0] if len(unit) < n else alphabet * len(unit)
-        found[j].append((i, inner + math.log10(times), "repeat"))
+    walk: dict[int, tuple[int, list[int], list[int]]] = {}
+    for start, stop, turns in _keyed(value):
+        shifts = list(itertools.accumulate((c in _SHIFTED for c in value[start:stop]), initial=0))
+        for j in range(start + 3, stop + 1):
+            walk[j] = start, turns, shifts
+    walks = _Starts()
+    same = [0] * (min(16, n // 2) + 1)
+    repeats: list[dict[int, _Starts]] = [{} for _ in same]
     # best[j]: cheapest cost of value[:j] and how its last segment begins; brute force runs from any start.
     best: list[tuple[float, int, str]] = [(0.0, 0, "")]
+    begin = lambda i: best[i][0] + (SEGMENT if i else 0.0)
     run = (math.inf, 0)  # cheapest (cost before a brute-force run, less its characters' share; start)
     for j in range(1, n + 1):
         before = best[j - 1][0] + (SEGMENT if j > 1 else 0.0) - alphabet * (j - 1)
         if before < run[0] - 1e-12:
             run = (before, j - 1)
         choice = (run[0] + alphabet * j, run[1], "brute")
+        if j in walk:
+            start, turns, shifts = walk[j]
+            mixed = 0 < shifts[-1] < len(turns)
+            if j == start + 3:
+                walks = _Starts()
+            # A later start saves its turns; what is left grows with the logarithm of the length alone, if keys are all shifted or none is.
+            walks.add(j - 3, begin(j - 3) - math.log10(4) * turns[j - 2 - start], 2, 1, not mixed)
+            for i in reversed(walks.at):
+                found[j].append((i, _walk_cost(j - i, 1 + turns[j - 1 - start] - turns[i + 1 - start], shifts[j - start] - shifts[i - start]), "walk"))
+        for size in range(1, len(same)):
+            if j <= size or value[j - 1] != value[j - 1 - size]:
+                if same[size]:
+                    same[size] = 0
+                    repeats[size].clear()
+                continue
+            same[size] += 1
+            least = 3 if size == 1 else 2
+            if same[size] >= size * (least - 1):
+                starts = repeats[size].setdefault(j % size, _Starts())
+                starts.add(j - size * least, begin(j - size * least), least, size)
+                unit = value[j - size : j]
+                inner = guess(unit, known)[0] if size < n else alphabet * size
+                for i in reversed(starts.at):
+                    found[j].append((i, inner + math.log10((j - i) // size), "repeat"))
         for i, cost, kind in found[j]:
-            total = best[i][0] + cost + (SEGMENT if i else 0.0)
+            total = begin(i) + cost
             if total < choice[0] - 1e-12:
                 choice = (total, i, kind)
+        found[j] = []
         best.append(choice)
     kinds, j = [], n
     while j:
@@ -187,16 +245,26 @@ def guess(value: str, known: dict[str, tuple[float, str]] | None = None) -> tupl
     return known[value]
 
 
-def _repeats(value: str) -> Iterator[tuple[int, int, str, int]]:
-    """(start, stop, unit, times) of repeats of a unit of up to 16 characters, at least 3 characters in all."""
-    n = len(value)
-    for size in range(1, min(16, n // 2) + 1):
-        same = 0
-        for j in range(size, n):
-            same = same + 1 if value[j] == value[j - size] else 0
-            for times in range(2, same // size + 2):
-                if same >= size * (times - 1) and size * times >= 3:
-                    yield j + 1 - size * times, j + 1, value[j + 1 - size : j + 1], times
+class _Starts:
+    """Starts of segments that can still be the cheapest, in order, where a segment costs log10 of its length besides what its start has cost.
+
+    A later start is left out if an earlier one is cheaper for every stop to come: log10((t + m) / t) is greatest at
+    the least length t. An earlier one goes if a later one costs no more. So long values stay exact without all pairs.
+    """
+
+    def __init__(self):
+        self.at: list[int] = []
+        self.cost: list[float] = []
+
+    def add(self, i: int, cost: float, least: int, size: int, prune: bool = True) -> None:
+        if prune:
+            if any(c + math.log10(1 + (i - a) / (size * least)) <= cost for a, c in zip(self.at, self.cost, strict=True)):
+                return
+            while self.at and self.cost[-1] >= cost:
+                self.at.pop()
+                self.cost.pop()
+        self.at.append(i)
+        self.cost.append(cost)
 
 
 def hinted(text: Column) -> Column:

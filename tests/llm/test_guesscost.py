@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import math
 import random
@@ -72,3 +73,40 @@ def test_redacted(docs_of, none, odd):
     assert (3, "password=changeme", 17) in text and (6, "key AKIA[REDACTED] here", 23) in text
     assert G.redacted(none).collect() == []
     assert [r["text"] for r in G.redacted(odd).collect()] == [r["text"] for r in odd.collect()]
+
+
+def test_whole_values(docs_of):
+    rng = random.Random(4)
+    long = ["".join(rng.choice("ABCDEFabcdefxyz0123456789") for _ in range(n)) for n in (900, 513, 300, 5000)]
+    docs = docs_of([(1, f"token = {long[0]} end"), (2, f"private_key: '{long[1]}'"), (3, f"the AKIA{long[2]} end"), (4, f"password={long[3]}"), (5, "secret=" + "a" * 3000)])
+    out = {r["doc_id"]: r["text"] for r in G.redacted(docs).collect()}
+    assert out == {1: "token = [REDACTED] end", 2: "private_key: '[REDACTED]'", 3: "the AKIA[REDACTED] end", 4: "password=[REDACTED]", 5: "secret=" + "a" * 3000}
+    got = {r["doc_id"]: r["value_sha256"] for r in G.findings(docs).collect()}
+    assert got == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in enumerate([*long, "a" * 3000], 1)}
+
+
+def all_pairs(value: str) -> float:
+    """Least cost with every pattern and every repeat, none left out."""
+    n, alphabet = len(value), G._brute(value)
+    cost = {(i, j): alphabet * (j - i) for i, j in itertools.combinations(range(n + 1), 2)}
+    for i, j, c, _ in G.patterns(value):
+        cost[i, j] = min(c, cost[i, j])
+    for size in range(1, min(16, n // 2) + 1):
+        for i in range(n - size):
+            times = 2
+            while i + size * times <= n and value[i : i + size * times] == value[i : i + size] * times:
+                if size * times >= 3:
+                    cost[i, i + size * times] = min(cost[i, i + size * times], (G.guess(value[i : i + size])[0] if size < n else math.inf) + math.log10(times))
+                times += 1
+    best = [0.0]
+    for j in range(1, n + 1):
+        best.append(min(best[i] + cost[i, j] + (G.SEGMENT if i else 0) for i in range(j)))
+    return best[n]
+
+
+def test_left_out_starts_change_nothing():
+    rng = random.Random(9)
+    pieces = ["qwe", "-=", "_=", "1919", "password", "aaaa", "haha", "QWERTY", "x", "2001", "./", "zz"]
+    values = ["".join(rng.choice(pieces) * rng.choice([1, 1, 2, 9]) for _ in range(6))[:110] for _ in range(40)]
+    for v in [*values, "-=" * 60, "=_" * 50, "password" * 14, "qwertyuiopoiuytrew" * 6, "1919" * 25]:
+        assert G.guess(v)[0] == pytest.approx(all_pairs(v), abs=1e-9), v
