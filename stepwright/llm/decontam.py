@@ -6,8 +6,9 @@ document if some substring of the document is within floor(RATE * m) edits of
 it. Such a match shares at least m + 1 - Q - Q * edits character q-grams with
 the item (q-gram lemma), all within edits + 1 neighbouring diagonals. So:
 
-1. a bitmap of the items' q-grams marks the positions of a text, and windows
-   with too few marks for any item are left;
+1. a bitmap of the items' q-grams marks the positions of a text; a match has a
+   window with enough marks for some item, so only marks within the longest
+   match's length of such a window are kept;
 2. the marks that remain are looked up and counted in overlapping diagonal
    bands for each item; bands below the item's bound are left;
 3. the bands that remain are verified by banded alignment.
@@ -72,6 +73,11 @@ def codes(raw: np.ndarray) -> np.ndarray:
     return h
 
 
+def _covered(start: np.ndarray, stop: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in one of the ranges."""
+    return np.cumsum(np.bincount(start, minlength=n + 1)[:n] - np.bincount(stop, minlength=n + 1)[:n]) > 0
+
+
 class Index:
     """Q-grams of benchmark items: a bitmap, and their places sorted by code."""
 
@@ -98,25 +104,27 @@ class Index:
         self.bitmap[(self.code >> np.uint64(64 - BITMAP)).astype(np.int64)] = True
         reach = self.length + self.edits
         self.window = int(reach.min(initial=1 << 40))
+        self.reach = int(reach.max(initial=0))
         self.least = int((-(-self.bound // -(-reach // self.window))).min(initial=1 << 40)) if len(reach) else 1 << 40
 
-    def marks(self, raw: np.ndarray) -> np.ndarray:
-        """Positions of raw whose q-gram may be an item's, in windows that hold enough of them."""
+    def marks(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of raw whose q-gram may be an item's, and which of them lie in windows that hold enough of them."""
         found = []
         for lo in range(0, max(0, len(raw) - Q + 1), CHUNK):
             h = codes(raw[lo : lo + CHUNK + Q - 1]) >> np.uint64(64 - BITMAP)
             found.append(np.flatnonzero(self.bitmap[h.astype(np.int64)]) + lo)
         at = np.concatenate(found) if found else np.zeros(0, np.int64)
         if len(at) < self.least:
-            return at[:0]
-        # A mark stays if `least` marks in a row, this one among them, lie within one window.
+            return at[:0], np.zeros(0, bool)
+        # A mark is dense if `least` marks in a row, this one among them, lie within one window.
         k = self.least - 1
         full = at[k:] - at[: len(at) - k] < self.window
-        delta = np.zeros(len(at) + 1, np.int64)
         first = np.flatnonzero(full)
-        np.add.at(delta, first, 1)
-        np.add.at(delta, first + k + 1, -1)
-        return at[np.cumsum(delta[:-1]) > 0]
+        return at, _covered(first, first + k + 1, len(at))
+
+    def near(self, at: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        """The marks of one text that can belong to a match: only one window of a match need be dense, its other marks are within its length."""
+        return at[_covered(np.searchsorted(at, at[dense] - self.reach), np.searchsorted(at, at[dense] + self.reach, "right"), len(at))]
 
     def candidates(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         """(item, lowest diagonal, marks) of the bands of raw with at least the item's bound; bands are 2 * (edits + 1) wide and overlap by half."""
@@ -192,10 +200,11 @@ def _kernel(ids: list, texts: list[str], text_place: int):
             if not index.items:
                 return out
             raw, offsets = normalised(batch.column(text_place))
-            at = index.marks(raw)
+            at, dense = index.marks(raw)
             bounds = np.searchsorted(at, offsets)
-            for k in np.flatnonzero(np.diff(bounds) >= index.least):
-                own = at[bounds[k] : bounds[k + 1]]
+            some = np.concatenate([[0], np.cumsum(dense)])[bounds]
+            for k in np.flatnonzero((np.diff(bounds) >= index.least) & (np.diff(some) > 0)):
+                own = index.near(at[bounds[k] : bounds[k + 1]], dense[bounds[k] : bounds[k + 1]])
                 own = own[own <= offsets[k + 1] - Q] - offsets[k]
                 if len(own):
                     out += [(int(k), i, d) for i, d in index.matches(raw[offsets[k] : offsets[k + 1]], own)]

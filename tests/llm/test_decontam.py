@@ -105,3 +105,29 @@ def test_odd_rows(spark, odd, none):
     assert D.keep_clean(odd, items).count() == len(ODD) - 1 and D.keep_clean(odd, items).columns == odd.columns
     assert D.matches(none, items).collect() == [] and D.matches(odd, table(spark, [])).collect() == []
     assert D.keep_clean(odd, table(spark, [])).count() == len(ODD)
+
+
+def crowded(text: str, gap: int, n: int) -> str:
+    """n letters of the text's first part replaced, gap characters apart; the rest is as it was."""
+    s = list(text)
+    for k in range(n):
+        at = 5 + k * gap
+        s[at] = "q" if s[at] != "q" else "z"
+    return "".join(s)
+
+
+def test_edits_in_one_part_of_an_item(spark, docs_of):
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnoprstuvwxy") for _ in range(n))
+    items = [(0, letters(81)), (1, letters(200)), (2, letters(300)), (3, letters(394)), (4, letters(700))]
+    docs = []
+    for i, x in items[1:]:
+        budget = int(len(x) * D.RATE)
+        for gap in (9, 10, 11, 12, 13):
+            for n in (budget, budget - 2):
+                docs.append((len(docs), letters(150) + " " + crowded(x, gap, n) + " " + letters(120)))
+    docs.append((len(docs), letters(600)))
+    got = {(r["doc_id"], r["item_id"], r["distance"]) for r in D.matches(docs_of(docs), table(spark, items)).collect()}
+    assert {(d, i) for d, i, _ in got} == {(k, 1 + k // 10) for k in range(40)}
+    few = [k for k in range(0, 40, 7) if k < 30]
+    assert {x for x in got if x[0] in few} == {x for k in few for x in brute([docs[k]], [items[1 + k // 10]])}
