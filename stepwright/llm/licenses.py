@@ -1,9 +1,11 @@
 """Operator 4. Licence recognition by sentence rules.
 
-A text's sentences are normalised (lower case, runs of anything but a-z and
-0-9 become one space) and looked up in a table of known licence sentences; the
-text becomes a string of sentence identifiers, with a dot for each other
-sentence. Rules are sequences of identifiers in order, with at most GAP other
+A text is normalised (lower case, runs of anything but a-z and 0-9 become one
+space; S stands for the end of a sentence, that is a closing mark or a blank
+line, and L for a single line break with any comment mark after it). Known
+licence sentences are found in it wherever they begin and end at a sentence's
+or a line's bounds, also over several lines; the text becomes a string of
+sentence identifiers, with a dot for each other sentence. Rules are sequences of identifiers in order, with at most GAP other
 sentences between two; a rule is a regular expression over that string. All of
 it runs in the JVM, without a join or a shuffle.
 """
@@ -12,11 +14,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GAP = 3
-#: Ends of sentences: line breaks, or closing marks before white space.
+#: Ends of sentences in the table of known sentences and in the SQL: line breaks, or closing marks before white space.
 SPLIT = r"[\n\r]+|[.;:!?]+\s+"
 
 #: Known sentences: identifier -> text.
@@ -117,6 +119,21 @@ def known() -> dict[str, str]:
     return out
 
 
+def marked(text: Column) -> Column:
+    """The text normalised, with S for each end of a sentence and L for each other line break."""
+    out = F.regexp_replace(F.lower(text), r"\r\n?", "\n")
+    # What is before a line's first letter or digit is indentation and comment marks; a line without any is blank.
+    out = F.regexp_replace(out, r"(^|\n)[^a-z0-9\n]+", "$1")
+    out = F.regexp_replace(out, r"[.;:!?]+\s+|\n\n+", " S ")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"\n", " L "), "[^a-z0-9SL]+", " "))
+
+
+def known_pattern(sentences: list[str]) -> str:
+    """Any of the normalised sentences, the longest first, from bound to bound; its words may stand on several lines."""
+    longest = sorted(sentences, key=lambda s: (-len(s), s))
+    return r"(^|[SL] )(" + "|".join(s.replace(" ", "(?: L)? ") for s in longest) + r")(?= [SL]|$)"
+
+
 def rule_pattern(keys: tuple[str, ...]) -> str:
     return (r"(?:\.|<[a-z0-9.]+>){0," + str(GAP) + "}").join("<" + re.escape(k) + ">" for k in keys)
 
@@ -127,11 +144,13 @@ def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null, empty and unlicensed texts give no rows; null ids and repeated rows pass through; texts are scanned whole;
     overlapping rules all count; an empty table gives no rows. Other columns are not looked at.
     """
-    table = F.create_map(*(F.lit(x) for pair in sorted(known().items()) for x in pair))
-    sentences = F.split(F.lower(F.col(text_col).cast("string")), SPLIT)
-    cleaned = F.filter(F.transform(sentences, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))), lambda s: s != "")
-    ids = F.transform(cleaned, lambda s: F.try_element_at(table, s))
-    found = docs.select(F.col(id_col).alias("doc_id"), ids.alias("ids")).where(F.exists("ids", lambda x: x.isNotNull()))
+    names = known()
+    table = F.create_map(*(F.lit(x) for pair in sorted(names.items()) for x in pair))
+    pattern = known_pattern(list(names))
+    chosen = docs.select(F.col(id_col).alias("doc_id"), marked(F.col(text_col).cast("string")).alias("text")).where(F.col("text").rlike(pattern))
+    parts = F.regexp_extract_all(F.regexp_replace("text", pattern, "$1<$2>"), F.lit("<[^>]*>|[a-z0-9][^<>S]*"), F.lit(0))
+    ids = F.transform(parts, lambda p: F.when(F.startswith(p, F.lit("<")), F.try_element_at(table, F.regexp_replace(F.regexp_replace(p, "[<>]", ""), " L ", " "))))
+    found = chosen.select("doc_id", ids.alias("ids"))
     line = F.concat_ws("", F.transform("ids", lambda x: F.coalesce(F.concat(F.lit("<"), x, F.lit(">")), F.lit("."))))
     coded = found.select("doc_id", line.alias("line"), F.concat_ws(" ", F.filter("ids", lambda x: x.isNotNull())).alias("sentences"))
     rules = F.array(*(F.when(F.col("line").rlike(rule_pattern(keys)), F.struct(F.lit(rule).alias("rule"), F.lit(licence).alias("license"))) for rule, licence, keys in RULES))

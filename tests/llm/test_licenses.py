@@ -1,3 +1,5 @@
+import textwrap
+
 from stepwright.llm import licenses as L
 
 
@@ -40,3 +42,30 @@ def test_odd_rows(odd, none, docs_of):
     assert found(odd) == {} and found(none) == {}
     many = docs_of([(None, L.SENTENCES["cc0"]), (1, L.SENTENCES["cc0"]), (1, L.SENTENCES["cc0"]), (2, "word " * 100_000 + "\n" + L.SENTENCES["public"])])
     assert sorted((r["doc_id"] or 0, r["rule"]) for r in L.recognised(many).collect()) == [(0, "cc0"), (1, "cc0"), (1, "cc0"), (2, "public")]
+
+
+def wrapped(mark, *keys, gap="\n"):
+    """The sentences as a file has them: a paragraph, wrapped at 72 columns, each line after a comment mark."""
+    lines = textwrap.wrap(" ".join(L.SENTENCES[k] for k in keys), 72)
+    return gap.join(mark + x for x in lines)
+
+
+def test_wrapped_at_line_ends(docs_of):
+    mit = ("mit.grant", "mit.condition", "mit.warranty", "mit.liability")
+    docs = []
+    for mark in ("", "# ", " * ", "// ", ";; ", "-- "):
+        n = len(docs)
+        blank = "\n" + mark.rstrip() + "\n"
+        docs += [
+            (n, "Copyright (c) 2020 A. Person" + blank + wrapped(mark, *mit) + "\n"),
+            (n + 1, mark + "MIT License\n" + wrapped(mark, mit[0]) + blank + wrapped(mark, mit[1]) + blank + wrapped(mark, mit[2], mit[3])),
+            (n + 2, wrapped(mark, "bsd.grant") + blank + wrapped(mark + "* ", "bsd.source") + "\n" + wrapped(mark, "bsd.binary") + blank + "more text"),
+            (n + 3, wrapped(mark, "isc.grant", gap="\r\n") + "\r\n"),
+            (n + 4, wrapped(mark, "gpl.terms2") + " " + L.SENTENCES["rights"]),
+            (n + 5, "a text of\n" + mark + "two lines\n" + wrapped(mark, "unlicense")),
+            (n + 6, mark + "words " + wrapped(mark, "isc.grant")[len(mark) :]),
+        ]
+    got = found(docs_of(docs))
+    for n in range(0, len(docs), 7):
+        assert got[n] == {"mit.full", "mit.core"} and got[n + 1] == {"mit.full", "mit.core", "mit.name2"}
+        assert got[n + 2] == {"bsd2"} and got[n + 3] == {"isc"} and got[n + 4] == {"proprietary.rights"} and got[n + 5] == {"unlicense"} and n + 6 not in got
