@@ -110,7 +110,7 @@ def normalise(sentence: str) -> str:
 
 
 def known() -> dict[str, str]:
-    """Normalised sentence -> identifier. A known text with an inner sentence end is known by its sentences as well."""
+    """Normalised sentence -> identifier, of the known texts that are one sentence; sequences() has the others."""
     out: dict[str, str] = {}
     for key, text in SENTENCES.items():
         parts = [p for p in map(normalise, re.split(SPLIT, text)) if p]
@@ -119,6 +119,16 @@ def known() -> dict[str, str]:
     return out
 
 
+def sequences() -> dict[str, str]:
+    """Normalised sentences joined by S -> identifier, of the known texts of several sentences that are not all known themselves."""
+    names, out = known(), {}
+    for key, text in SENTENCES.items():
+        parts = [p for p in map(normalise, re.split(SPLIT, text)) if p]
+        if len(parts) > 1 and not all(p in names for p in parts):
+            out[" S ".join(parts)] = key
+    return out
+
+
 def marked(text: Column) -> Column:
     """The text normalised, with S for each end of a sentence and L for each other line break."""
     out = F.regexp_replace(F.lower(text), r"\r\n?", "\n")
@@ -144,7 +154,7 @@ def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null, empty and unlicensed texts give no rows; null ids and repeated rows pass through; texts are scanned whole;
     overlapping rules all count; an empty table gives no rows. Other columns are not looked at.
     """
-    names = known()
+    names = known() | sequences()
     table = F.create_map(*(F.lit(x) for pair in sorted(names.items()) for x in pair))
     pattern = known_pattern(list(names))
     chosen = docs.select(F.col(id_col).alias("doc_id"), marked(F.col(text_col).cast("string")).alias("text")).where(F.col("text").rlike(pattern))

@@ -69,3 +69,11 @@ def test_wrapped_at_line_ends(docs_of):
     for n in range(0, len(docs), 7):
         assert got[n] == {"mit.full", "mit.core"} and got[n + 1] == {"mit.full", "mit.core", "mit.name2"}
         assert got[n + 2] == {"bsd2"} and got[n + 3] == {"isc"} and got[n + 4] == {"proprietary.rights"} and got[n + 5] == {"unlicense"} and n + 6 not in got
+
+
+def test_each_rule_matches_its_own_text(docs_of):
+    docs = [(n, wrapped(mark, *keys) + "\n") if mark else (n, full(*keys)) for n, (mark, (_, _, keys)) in enumerate((m, r) for m in ("", "# ") for r in L.RULES if not m or all(L.SENTENCES[k][-1] in ".:;" for k in r[2]))]
+    names = [rule for m in ("", "# ") for rule, _, keys in L.RULES if not m or all(L.SENTENCES[k][-1] in ".:;" for k in keys)]
+    got = found(docs_of(docs))
+    assert [n for n, rule in enumerate(names) if rule not in got.get(n, ())] == []
+    assert set(names) == {rule for rule, _, _ in L.RULES} and "mpl2" in names[len(L.RULES) :]
