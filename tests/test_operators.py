@@ -176,3 +176,13 @@ def test_search(spark):
     index = S.inverted_index(tracks, "k")
     q = S.query_tokens(spark.createDataFrame([(1, "piano"), (2, "pianno"), (3, "old syn"), (4, "zzz")], "q int, text string"), "text")
     assert rows(S.candidates(q, tracks, index, "q", "k"), "q", "k", "stage") == [(1, 1, "exact"), (2, 1, "fuzzy"), (3, 2, "substring")]
+
+
+def test_step_flattening_keeps_every_chain(spark, tmp_path):
+    from stepwright.queries.chains import step_flattening
+
+    spark.createDataFrame([(1,), (2999,), (3000,), (90000,)], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    item = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate date"
+    spark.createDataFrame([(k, 1, 3, 1, 7.0, 1.0, 0.0, 0.0, "N", "O", None) for k in (1, 3000)], item).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = sorted(tuple(r) for r in step_flattening(spark, str(tmp_path)).collect())
+    assert [(r[0], r[1]) for r in got] == [(1, 1), (2999, None), (3000, 1), (90000, None)]
