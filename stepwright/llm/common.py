@@ -37,6 +37,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names that are like those given and no column of df has, in upper or lower case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def sized(side: DataFrame, rows: int) -> DataFrame:
     """side with a broadcast hint if its counted rows are few enough, else unchanged: a shuffle join."""
     return F.broadcast(side) if rows <= BROADCAST_ROWS else side

@@ -1,48 +1,70 @@
 """Operator 7. Secret scans by password guess cost.
 
-Values in credential context (a key word such as password, token or api_key,
-then = or :, then a value; or what follows a prefix that an issuer gives its
-keys) are given the least number of guesses that a segmentation into patterns
-needs. A dynamic program over prefixes takes the
-minimum of log10 guesses over all segmentations into
+Values in credential context are given the least number of guesses that a
+segmentation into patterns needs. A context is
 
-* words: rank in a list of common words, times case and leet variants,
+* an identifier that ends in a key word such as password, token or api_key,
+  then = or :, then a value, in quotes or not;
+* what follows a prefix that an issuer gives its keys, or the word Bearer;
+* the password of a URL (scheme://user:password@host);
+* a private key between its BEGIN and END lines.
+
+A dynamic program over prefixes takes the minimum of log10 guesses over all
+segmentations into
+
+* words: rank in a list of common passwords and then the whole words of a
+  public vocabulary in the order of their merges, times case and leet variants,
 * dates: days in the years that are usual,
 * repeats: of a unit, at the unit's own cost times the times,
 * keyboard walks: starts and turns on a keyboard's rows and columns,
 * brute force: the alphabet of the characters that occur, for each character.
 
 Each further segment also pays SEGMENT. A value is a secret if its cost reaches
-THRESHOLD; placeholders and guessable values stay below it.
+THRESHOLD; placeholders and guessable values stay below it. One matcher, the
+JVM's, finds and replaces values; Python only costs them.
 """
 
 from __future__ import annotations
 
+import base64
 import functools
 import itertools
 import math
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepwright.llm.common import free_names, once
+
 #: log10 guesses from which a value counts as a secret.
 THRESHOLD = 10.0
 #: log10 cost of each segment after the first.
 SEGMENT = 0.5
-#: Fewest characters of a value after a key word; a value has no greatest length.
-SHORTEST = 6
+#: Fewest characters of a value after a key word: 4 cost at most 4 * log10(195), which is below THRESHOLD. A value has no greatest length.
+SHORTEST = 5
+#: A public byte-pair vocabulary whose whole words, in the order of their merges, are the ranked word list.
+WORD_LIST = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
-KEYS = ("password", "passwd", "passphrase", "pwd", "secret", "token", "api_key", "api-key", "apikey", "access_key", "access-key", "auth_key", "private_key", "credential", "credentials")
+KEY = r"pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|authorization|(?:api|access|auth|private|secret|signing|encryption|master|account|shared|client)[_-]?key"
 #: Prefixes of issued keys.
-PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "glpat-", "xoxb-", "xoxp-", "sk_live_")
-#: Groups 1 and 2, or 3 and 4: key word and value, or prefix and what follows it.
+PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "npm_", "hf_")
+#: White space of any kind and control characters, in a class of Java's expressions.
+BLANK = r"\p{Cc}\p{Z}\x{200B}\x{FEFF}"
+_QUOTES = "\"'`"
+_VALUE = "|".join([*(f"(?<={q})[^{BLANK}{q}]{{{SHORTEST},}}+" for q in _QUOTES), f"(?<![{_QUOTES}])[^{BLANK}{_QUOTES}<>,;]{{{SHORTEST},}}+"])
+#: Pairs of what stays and what is a value, one pair for each kind of context; the last group is the end of a URL's password or of a private key.
 CONTEXT = (
-    r"(?<![A-Za-z0-9])(?:(?i:((?:[a-z0-9]{1,32}[_-]){0,3}(?:" + "|".join(KEYS) + r"))[\"']?\s{0,4}[:=]\s{0,4}[\"']?([^\s\"'<>`,;]{" + f"{SHORTEST}," + r"}+))"
-    r"|(" + "|".join(PREFIXES) + r")([A-Za-z0-9_-]{16,}+))"
+    rf"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]*?(?i:{KEY})\\*+[{_QUOTES}]?[{BLANK}]*+(?::=|=>|[:=])[{BLANK}]*+(?:(?i:bearer|basic)[{BLANK}]++)?+\\*+[{_QUOTES}]?)({_VALUE})"
+    rf"|(?<![A-Za-z0-9])({'|'.join(PREFIXES)})([A-Za-z0-9_-]{{16,}}+)"
+    rf"|(?<![A-Za-z0-9])((?i:bearer)[{BLANK}]++)([A-Za-z0-9._~+/=-]{{16,}}+)"
+    rf"|(://[^{BLANK}/:@\"'<>]*+:)([^{BLANK}/@\"'<>]{{{SHORTEST},}}+)(?=@)"
+    rf"|(-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----)((?s:.+?)(?=-----END)|(?:[{BLANK}]*+[A-Za-z0-9+/=]{{16,}}+)++(?:[{BLANK}]*+[A-Za-z0-9+/]+={{1,2}})?)"
 )
+KINDS = 5
 
 WORDS = (
     "password 123456 admin letmein welcome monkey dragon master login abc123 iloveyou sunshine princess football shadow superman michael "
@@ -54,32 +76,63 @@ WORDS = (
     "tiger lion eagle wolf bear horse snake star moon sun sky earth fire water ice wind storm thunder flower rose lily angel baby "
     "john james robert david william richard thomas charles daniel george mary anna maria laura lisa jessica ashley amanda nicole"
 ).split()
-RANK = {w: k + 1 for k, w in reversed(list(enumerate(WORDS)))}
-LEET = {"4": "a", "@": "a", "3": "e", "1": "i", "!": "i", "0": "o", "5": "s", "$": "s", "7": "t"}
+LEET = str.maketrans("4@31!05$7", "aaeiiosst")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _AT = {c: (y, x) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
 _SHIFTED = dict(zip('~!@#$%^&*()_+QWERTYUIOP{}|ASDFGHJKL:"ZXCVBNM<>?', "`1234567890-=qwertyuiop[]\\asdfghjkl;'zxcvbnm,./", strict=True))
 _DATE = re.compile(r"(?=(\d{8}|\d{6}|\d{1,4}[-/._]\d{1,2}[-/._]\d{1,4}|\d{4}))")
 #: Characters that join words; each is a word of its own.
 SEPARATORS = "_-."
-LONGEST_WORD = max(map(len, RANK))
 #: Values whose results are kept at most.
 KNOWN = 4096
 
 
-def _word(part: str) -> float | None:
-    low = part.lower()
-    variants = 1
-    if low not in RANK:
-        plain = "".join(LEET.get(c, c) for c in low)
-        if plain == low or plain not in RANK:
-            return None
-        variants = 2 ** sum(a != b for a, b in zip(low, plain, strict=True))
-        low = plain
-    if part != part.lower():
-        upper = sum(c.isupper() for c in part)
-        variants *= 2 if part[0].isupper() and upper == 1 or upper == len(part) else 2 + sum(math.comb(len(part), k) for k in range(1, min(upper, len(part) - upper) + 1))
-    return math.log10(RANK[low] * variants + 1)
+def ranked_words(path: str | None = WORD_LIST) -> dict[str, int]:
+    """Rank of each word in lower case: WORDS, then the vocabulary's words of three letters or more; WORDS alone without a path."""
+    words = list(WORDS)
+    if path:
+        for token in map(bytes.split, Path(path).read_bytes().splitlines()):
+            word = base64.b64decode(token[0]).decode("utf-8", "replace")
+            if len(word) > 3 and word[0] == " " and word[1:].isalpha():
+                words.append(word[1:].lower())
+    return {w: k + 1 for k, w in enumerate(dict.fromkeys(words))}
+
+
+class Words:
+    """Ranked words and what they begin with; one is enough for a process."""
+
+    def __init__(self, rank: dict[str, int]):
+        self.rank = rank
+        self.begins = {w[:k] for w in rank for k in range(1, len(w) + 1)}
+
+    def of(self, value: str) -> Iterator[tuple[int, int, float]]:
+        """(start, stop, log10 guesses) of each part of value that is a word."""
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in value)
+        plain = low.translate(LEET)
+        for i in range(len(value)):
+            for j in range(i + 1, len(value) + 1):
+                a, b = low[i:j], plain[i:j]
+                if a not in self.begins and b not in self.begins:
+                    break
+                if j - i < 3:
+                    continue
+                if a in self.rank:
+                    yield i, j, math.log10(self.rank[a] * _cased(value[i:j]) + 1)
+                elif b in self.rank:
+                    yield i, j, math.log10(self.rank[b] * 2 ** sum(x != y for x, y in zip(a, b, strict=True)) * _cased(value[i:j]) + 1)
+
+
+def _cased(part: str) -> int:
+    """How many ways of writing a word in capitals are as usual as that of part."""
+    upper = sum(c.isupper() for c in part)
+    if not upper:
+        return 1
+    return 2 if part[0].isupper() and upper == 1 or upper == len(part) else 2 + sum(math.comb(len(part), k) for k in range(1, min(upper, len(part) - upper) + 1))
+
+
+def words_of(rank: dict[str, int] | None) -> Words:
+    """The words of a rank table, made once in a process; those of WORD_LIST if there is none."""
+    return once(("words", len(rank) if rank else 0, hash(tuple(rank.items())) if rank else 0), lambda: Words(rank or ranked_words()))
 
 
 def _date(part: str) -> float | None:
@@ -149,23 +202,21 @@ def _brute(value: str) -> float:
     return math.log10(max(size, 2))
 
 
-def patterns(value: str) -> Iterator[tuple[int, int, float, str]]:
+def patterns(value: str, words: Words) -> Iterator[tuple[int, int, float, str]]:
     """(start, stop, log10 guesses, kind) of every pattern but brute force."""
-    yield from _fixed(value)
+    yield from _fixed(value, words)
     for i, j, cost in _walks(value):
         yield i, j, cost, "walk"
 
 
-def _fixed(value: str) -> Iterator[tuple[int, int, float, str]]:
+def _fixed(value: str, words: Words) -> Iterator[tuple[int, int, float, str]]:
     """patterns() of bounded length: words and dates."""
     n = len(value)
     for i in range(n):
         if value[i] in SEPARATORS:
             yield i, i + 1, math.log10(1 + len(SEPARATORS)), "word"
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            cost = _word(value[i:j])
-            if cost is not None:
-                yield i, j, cost, "word"
+    for i, j, cost in words.of(value):
+        yield i, j, cost, "word"
     for m in _DATE.finditer(value):
         # Shorter readings of the same digits count as well.
         for stop in {m.end(1), *(m.start() + k for k in (4, 6, 8))}:
@@ -176,9 +227,10 @@ def _fixed(value: str) -> Iterator[tuple[int, int, float, str]]:
                     yield m.start(), stop, cost, "date"
 
 
-def guess(value: str, known: dict[str, tuple[float, str]] | None = None) -> tuple[float, str]:
+def guess(value: str, known: dict[str, tuple[float, str]] | None = None, words: Words | None = None) -> tuple[float, str]:
     """(log10 guesses, kinds joined by +) of the cheapest segmentation; an empty value costs 0. known keeps results between calls."""
     known = {} if known is None else known
+    words = words or words_of(None)
     if value in known:
         return known[value]
     n = len(value)
@@ -186,7 +238,7 @@ def guess(value: str, known: dict[str, tuple[float, str]] | None = None) -> tupl
         return 0.0, ""
     alphabet = _brute(value)
     found: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
-    for i, j, cost, kind in _fixed(value):
+    for i, j, cost, kind in _fixed(value, words):
         found[j].append((i, cost, kind))
     walk: dict[int, tuple[int, list[int], list[int]]] = {}
     for start, stop, turns in _keyed(value):
@@ -226,7 +278,7 @@ def guess(value: str, known: dict[str, tuple[float, str]] | None = None) -> tupl
                 starts = repeats[size].setdefault(j % size, _Starts())
                 starts.add(j - size * least, begin(j - size * least), least, size)
                 unit = value[j - size : j]
-                inner = guess(unit, known)[0] if size < n else alphabet * size
+                inner = guess(unit, known, words)[0] if size < n else alphabet * size
                 for i in reversed(starts.at):
                     found[j].append((i, inner + math.log10((j - i) // size), "repeat"))
         for i, cost, kind in found[j]:
@@ -269,30 +321,48 @@ class _Starts:
 
 def hinted(text: Column) -> Column:
     """Cheap test that every text with a context passes."""
-    out = F.contains(text, F.lit(":")) | F.contains(text, F.lit("="))
+    out = F.contains(text, F.lit(":")) | F.contains(text, F.lit("=")) | F.contains(F.lower(text), F.lit("bearer")) | F.contains(text, F.lit("PRIVATE KEY-----"))
     for p in PREFIXES:
         out = out | F.contains(text, F.lit(p))
     return out
 
 
-def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def _group(found: Column, k: int) -> Column:
+    """Group k (1: what stays before the value, 2: the value) of a context, whichever its kind; the value is what the rest of it is."""
+    head = F.concat(*(F.regexp_extract(found, HEAD, i + 1) for i in range(KINDS)))
+    return head if k == 1 else F.substr(found, F.length(head) + 1)
+
+
+#: What stays of a context that was found, before its value: a kind for each group.
+HEAD = (
+    rf"^(?:([A-Za-z0-9_-]*?(?i:{KEY})\\*+[{_QUOTES}]?[{BLANK}]*+(?::=|=>|[:=])[{BLANK}]*+(?:(?i:bearer|basic)[{BLANK}]++)?+\\*+[{_QUOTES}]?)(?={_VALUE})"
+    rf"|({'|'.join(PREFIXES)})|((?i:bearer)[{BLANK}]++)|(://[^{BLANK}/:@\"'<>]*+:)|(-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----))"
+)
+
+
+def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, word_list: str | None = WORD_LIST) -> DataFrame:
     """doc_id, place, key, value_sha256, log10_guesses, segments, secret: one row for each value in credential context.
 
-    place counts a document's values from 1; key is the key word or the issuer's prefix in lower case. The value itself is not returned, only its SHA-256. Null, empty and
-    context-free texts give no rows; repeated rows and values each give theirs; a null doc_id stays null; whole
-    texts are scanned; other columns are not looked at. The pattern runs in the JVM, only values go to Python.
+    place counts a document's values from 1; key is the identifier in lower case, the issuer's prefix, bearer, url or
+    private key. A value after a key word ends before white space of any kind, and, if it is not in quotes, before a
+    comma, a semicolon, a quote or an angle bracket. The value itself is not returned, only its SHA-256. Null, empty
+    and context-free texts give no rows; repeated rows and values each give theirs; a null doc_id stays null; an empty
+    table gives no rows; texts and values of any length are scanned, costed and hashed whole; other columns are not
+    looked at. The pattern runs in the JVM, only values go to Python.
     """
     text = F.col(text_col).cast("string")
     chosen = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).where(hinted(F.col("text")))
-    part = lambda k, e: F.regexp_extract("found", CONTEXT, k if e else k + 2)
-    either = lambda k: F.when(part(2, True) != "", part(k, True)).otherwise(part(k, False))
     rows = chosen.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(CONTEXT), F.lit(0))).alias("p", "found"))
-    rows = rows.select("doc_id", (F.col("p") + 1).alias("place"), F.lower(either(1)).alias("key"), either(2).alias("value"))
+    rows = rows.select("doc_id", (F.col("p") + 1).alias("place"), _group(F.col("found"), 1).alias("head"), _group(F.col("found"), 2).alias("value"))
+    key = F.when(F.startswith("head", F.lit("://")), "url").when(F.startswith("head", F.lit("-----BEGIN")), "private key").otherwise(F.lower(F.regexp_extract("head", "^[A-Za-z0-9_-]+", 0)))
+    rows = rows.select("doc_id", "place", key.alias("key"), "value")
+    rank = ranked_words(word_list)
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[float, str]] = {}
+        words = words_of(rank)
         for b in batches:
-            got = [guess(v, known) for v in b.column(3).to_pylist()]
+            got = [guess(v, known, words) for v in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([round(c, 6) for c, _ in got], pa.float64()), pa.array([k for _, k in got], pa.string())], names=[*b.schema.names, "log10_guesses", "segments"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -300,36 +370,29 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     return costed.select("doc_id", "place", "key", F.sha2("value", 256).alias("value_sha256"), "log10_guesses", "segments", (F.col("log10_guesses") >= threshold).alias("secret"))
 
 
-def redact_text(text: str | None, threshold: float = THRESHOLD, context: re.Pattern | None = None, known: dict[str, tuple[float, str]] | None = None) -> str | None:
-    """text with each secret value replaced by [REDACTED]; everything else unchanged."""
-    if text is None:
-        return None
-
-    def change(m: re.Match) -> str:
-        k = 2 if m[2] is not None else 4
-        if guess(m[k], known)[0] < threshold:
-            return m[0]
-        return m[0][: m.start(k) - m.start()] + "[REDACTED]"
-
-    return (context or re.compile(CONTEXT)).sub(change, text)
+def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", threshold: float = THRESHOLD, word_list: str | None = WORD_LIST) -> DataFrame:
+    """docs with the values that findings() calls secret replaced by [REDACTED] in text_col, and length_col (if there is one) brought up to date.
 
-
-def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with secrets replaced in text_col, and length_col (if there is one) brought up to date; rows and columns stay.
-
-    Only texts that hold a context go to Python; the others pass as they are.
+    All rows and columns stay, whatever their names; null texts stay null, and texts without a secret, empty ones and
+    repeated rows among them, as they are; values are replaced whole, however long; an empty table stays empty. The JVM's
+    matcher that finds the values also parts the text at them; only the values go to Python, to be costed.
     """
+    found, verdict = free_names(docs, "found", "verdict")
+    rank = ranked_words(word_list)
 
-    def change(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        context, known = re.compile(CONTEXT), {}
-        for texts in batches:
-            yield pa.array([redact_text(t, threshold, context, known) for t in texts.to_pylist()], pa.string())
-
-    change.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    clean = F.arrow_udf("string")(change)
-    text = F.col(text_col)
-    out = docs.withColumn(text_col, F.coalesce(clean(F.when(hinted(text) & text.rlike(CONTEXT), text)), text))
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, tuple[float, str]] = {}
+        words = words_of(rank)
+        for lists in batches:
+            yield pa.array([None if v is None else [round(guess(x, known, words)[0], 6) >= threshold for x in v] for v in lists.to_pylist()], pa.list_(pa.bool_()))
+
+    judge.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    text = F.col(f"`{text_col}`").cast("string")
+    out = docs.withColumn(found, F.regexp_extract_all(F.when(hinted(text), text), F.lit(CONTEXT), F.lit(0)))
+    out = out.withColumn(verdict, F.arrow_udf("array<boolean>")(judge)(F.when(F.size(found) > 0, F.transform(found, lambda f: _group(f, 2)))))
+    changed = F.zip_with(found, verdict, lambda f, secret: F.when(secret, F.concat(_group(f, 1), F.lit("[REDACTED]"))).otherwise(f))
+    whole = F.array_join(F.flatten(F.zip_with(F.split(text, CONTEXT, -1), changed, lambda piece, value: F.array(piece, F.coalesce(value, F.lit(""))))), "")
+    out = out.withColumn(text_col, F.when(F.exists(verdict, lambda x: x), whole).otherwise(text)).drop(found, verdict)
     if length_col and length_col in docs.columns:
         out = out.withColumn(length_col, F.when(F.col(length_col).isNotNull(), F.length(text_col).cast(docs.schema[length_col].dataType)))
     return out
-
