@@ -50,7 +50,7 @@ SHORTEST = 5
 WORD_LIST = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 KEY = r"pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|authorization|(?:api|access|auth|private|secret|signing|encryption|master|account|shared|client)[_-]?key"
-#: Prefixes of issued keys.
+#: Prefixes of issued keys; hinted() has a part of each.
 PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "npm_", "hf_")
 #: White space of any kind and control characters, in a class of Java's expressions.
 BLANK = r"\p{Cc}\p{Z}\x{200B}\x{FEFF}"
@@ -60,7 +60,7 @@ _VALUE = "|".join([*(f"(?<={q})[^{BLANK}{q}]{{{SHORTEST},}}+" for q in _QUOTES),
 CONTEXT = (
     rf"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]*?(?i:{KEY})\\*+[{_QUOTES}]?[{BLANK}]*+(?::=|=>|[:=])[{BLANK}]*+(?:(?i:bearer|basic)[{BLANK}]++)?+\\*+[{_QUOTES}]?)({_VALUE})"
     rf"|(?<![A-Za-z0-9])({'|'.join(PREFIXES)})([A-Za-z0-9_-]{{16,}}+)"
-    rf"|(?<![A-Za-z0-9])((?i:bearer)[{BLANK}]++)([A-Za-z0-9._~+/=-]{{16,}}+)"
+    rf"|(?<![A-Za-z0-9])([Bb]earer[{BLANK}]++|BEARER[{BLANK}]++)([A-Za-z0-9._~+/=-]{{16,}}+)"
     rf"|(://[^{BLANK}/:@\"'<>]*+:)([^{BLANK}/@\"'<>]{{{SHORTEST},}}+)(?=@)"
     rf"|(-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----)((?s:.+?)(?=-----END)|(?:[{BLANK}]*+[A-Za-z0-9+/=]{{16,}}+)++(?:[{BLANK}]*+[A-Za-z0-9+/]+={{1,2}})?)"
 )
@@ -320,11 +320,12 @@ class _Starts:
 
 
 def hinted(text: Column) -> Column:
-    """Cheap test that every text with a context passes."""
-    out = F.contains(text, F.lit(":")) | F.contains(text, F.lit("=")) | F.contains(F.lower(text), F.lit("bearer")) | F.contains(text, F.lit("PRIVATE KEY-----"))
-    for p in PREFIXES:
-        out = out | F.contains(text, F.lit(p))
-    return out
+    """Cheap test that every text with a context passes: a sign and a part of a key word, or what begins one of the other kinds."""
+    has = lambda t, *parts: functools.reduce(lambda x, y: x | y, (F.contains(t, F.lit(p)) for p in parts))
+    # The lambda takes the text in lower case once; each use of F.lower(text) would make it anew.
+    named = has(text, ":", "=") & F.exists(F.array(F.lower(text)), lambda low: has(low, "key", "token", "secret", "pass", "pwd", "credential", "authorization"))
+    issued = has(text, "IA", "AIza", "glpat-", "xox") | has(text, "_") & has(text, *(p for p in PREFIXES if p.endswith("_")))
+    return named | issued | has(text, "earer", "EARER") | has(text, "PRIVATE KEY") | (has(text, ":") & has(text, "://") & has(text, "@"))
 
 
 def _group(found: Column, k: int) -> Column:
@@ -336,7 +337,7 @@ def _group(found: Column, k: int) -> Column:
 #: What stays of a context that was found, before its value: a kind for each group.
 HEAD = (
     rf"^(?:([A-Za-z0-9_-]*?(?i:{KEY})\\*+[{_QUOTES}]?[{BLANK}]*+(?::=|=>|[:=])[{BLANK}]*+(?:(?i:bearer|basic)[{BLANK}]++)?+\\*+[{_QUOTES}]?)(?={_VALUE})"
-    rf"|({'|'.join(PREFIXES)})|((?i:bearer)[{BLANK}]++)|(://[^{BLANK}/:@\"'<>]*+:)|(-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----))"
+    rf"|({'|'.join(PREFIXES)})|([Bb]earer[{BLANK}]++|BEARER[{BLANK}]++)|(://[^{BLANK}/:@\"'<>]*+:)|(-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----))"
 )
 
 

@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from stepwright.llm import guesscost as G
 
@@ -164,3 +165,10 @@ def test_words_are_guessable(docs_of):
     assert G.findings(docs).where("secret").count() == 0 and G.findings(docs).count() == len(words)
     assert len(WORDS.rank) > 10_000 and WORDS.rank["password"] == 1
     assert len(G.ranked_words(None)) == len(dict.fromkeys(G.WORDS))
+
+
+def test_each_context_is_hinted(spark):
+    rows = [(f"x {p}0123456789abcdefghij",) for p in G.PREFIXES] + [(f"my {k}: 0123456789ab",) for k in ("PassCode", "PWD", "Secret", "tOken", "credentials", "Authorization", "master-key")] + [(f"{b} 0123456789abcdefghij",) for b in ("bearer", "Bearer", "BEARER")]
+    rows += [("http://a:012345678@b",), ("-----BEGIN PRIVATE KEY-----\nabcdefghijklmnopqrst",)]
+    found = spark.createDataFrame(rows, "text string").where(F.col("text").rlike(G.CONTEXT)).select("text", G.hinted(F.col("text")).alias("h")).collect()
+    assert len(found) == len(rows) and all(r["h"] for r in found)
