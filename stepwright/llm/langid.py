@@ -8,6 +8,11 @@ each starts with the vocabulary's word mark, and a text's probability is the
 product of its words'. A word's score is computed once per slice for all
 languages, then looked up by dictionary code.
 
+A long word, such as a clause in a script without spaces, is cut where no piece
+of the vocabulary reaches across: all segmentations meet there, so its sum is
+the product of its parts' sums. Parts are scored like short words; those that
+are long themselves go byte by byte, all of a slice at once.
+
 The piece probabilities are fitted by expectation maximisation on a bounded
 sample of labelled rows: TRAIN_DOCS documents of each language, those with the
 smallest hash of their id. The bound is a parameter.
@@ -31,12 +36,14 @@ ROUNDS = 2
 MARK = "▁".encode()
 #: Scale of one byte's share of a word's probability, against underflow.
 SCALE = 1000.0
-#: Words of more bytes go through the step-normalised path.
+#: Words of more bytes are cut at the places that no piece crosses; parts of more bytes go through the step-normalised path.
 LONG = 64
 FLOOR = 1e-6
 #: Bytes of text, and different words, that are scored at once.
 SLICE = 6_000_000
 WORDS_AT_ONCE = 6_000
+#: Bytes of long words that are scored at once.
+LONG_AT_ONCE = 200_000
 #: A document is rejected if its best language is not MIN_LEAD nats a byte ahead of the background, in which all pieces are equally likely ...
 MIN_LEAD = 0.0
 #: ... or the second best language is nearer than MIN_MARGIN nats a byte: texts half in one known language, half in another, stay.
@@ -91,7 +98,7 @@ class Trie:
         """All (start, stop, piece) that match raw[start:stop] with stop <= end[start]."""
         at = np.arange(len(raw), dtype=np.int64)
         node = np.ones(len(raw), np.int32)
-        starts, stops, pieces = [], [], []
+        starts, stops, pieces = [at[:0]], [at[:0]], [node[:0]]
         step = 0
         while len(at):
             node = self.next[self.row[node], raw[at + step]]
@@ -160,32 +167,57 @@ def _spans(key: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at[:-1], at[1:], strict=True))
 
 
-def _long(raw: np.ndarray, trie: Trie, p: np.ndarray) -> np.ndarray:
-    """Log probability per language of one long word; alpha is rescaled at each step."""
-    a, b, piece = trie.edges(raw, np.full(len(raw), len(raw)))
-    order = np.argsort(b, kind="stable")
-    a, b, piece = a[order], b[order], piece[order]
-    weight = p[piece]
-    bounds = np.searchsorted(b, np.arange(len(raw) + 2))
-    width = 1 + int((b - a).max(initial=1))
-    ring = np.zeros((width, p.shape[1]))
+def _long(raw: np.ndarray, start: np.ndarray, length: np.ndarray, trie: Trie, p: np.ndarray) -> np.ndarray:
+    """Log probability per language of words of any length, all of them a byte further at each step; sums are rescaled every 8 steps."""
+    order = np.argsort(-length, kind="stable")
+    start, length = start[order], length[order]
+    n = len(start)
+    at = np.cumsum(length) - length
+    body = raw[np.arange(int(length.sum())) - np.repeat(at, length) + np.repeat(start, length)]
+    word = np.repeat(np.arange(n), length)
+    a, b, piece = trie.edges(body, (at + length)[word])
+    w = word[a]
+    last = b - at[w]
+    by = np.lexsort((w, last))
+    w, first, last, piece = w[by], (a - at[w])[by], last[by], piece[by]
+    width = 1 + int((last - first).max(initial=1))
+    ring = np.zeros((width, n, p.shape[1]))
     ring[0] = 1.0
-    log = np.zeros(p.shape[1])
-    for t in range(1, len(raw) + 1):
-        s, e = bounds[t], bounds[t + 1]
-        now = (ring[a[s:e] % width] * weight[s:e]).sum(0)
-        ring[t % width] = now
+    log, out = np.zeros((n, p.shape[1])), np.zeros((n, p.shape[1]))
+    live = n  # words are in falling order of length: those before `live` go on
+    for t, (s, e) in enumerate(_spans(last), 1):
+        part = ring[first[s:e] % width, w[s:e]] * p[piece[s:e]]
+        runs = _runs(w[s:e])
+        ring[t % width, :live] = np.add.reduceat(part, runs, axis=0)
         if t % 8 == 0:
-            top = ring.max(0)
-            ring /= top
-            log += np.log(top)
-    return log + np.log(ring[len(raw) % width])
+            top = ring[:, :live].max(0)
+            ring[:, :live] /= top
+            log[:live] += np.log(top)
+        done = int(np.searchsorted(-length[:live], -t, side="left"))
+        if done < live:
+            out[done:live] = log[done:live] + np.log(ring[t % width, done:live])
+            live = done
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def parts_of(raw: np.ndarray, start: np.ndarray, length: np.ndarray, trie: Trie) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, start, length) of the parts into which words fall at the places that no piece crosses."""
+    at = np.cumsum(length) - length
+    body = raw[np.arange(int(length.sum())) - np.repeat(at, length) + np.repeat(start, length)]
+    word = np.repeat(np.arange(len(start)), length)
+    a, b, _ = trie.edges(body, (at + length)[word])
+    n = len(body) + 1
+    crossed = np.cumsum(np.bincount(a + 1, minlength=n + 1)[:n] - np.bincount(b, minlength=n + 1)[:n]) > 0
+    cut = np.flatnonzero(~crossed[:-1])
+    w = word[cut]
+    return w, cut - at[w] + start[w], np.diff(np.append(cut, len(body)))
 
 
-def word_scores(words: pa.Array, trie: Trie, p: np.ndarray) -> np.ndarray:
-    """Log probability of each word in each language, summed over all segmentations."""
-    out = np.zeros((len(words), p.shape[1]))
-    raw, start, length = _laid(words)
+def _scores(raw: np.ndarray, start: np.ndarray, length: np.ndarray, trie: Trie, p: np.ndarray) -> np.ndarray:
+    """Log probability of each of raw's words in each language, summed over all segmentations."""
+    out = np.zeros((len(start), p.shape[1]))
     short = np.flatnonzero(length <= LONG)
     for lo in range(0, len(short), WORDS_AT_ONCE):
         take = short[lo : lo + WORDS_AT_ONCE]
@@ -194,13 +226,56 @@ def word_scores(words: pa.Array, trie: Trie, p: np.ndarray) -> np.ndarray:
         body = raw[np.arange(int(n.sum())) - np.repeat(at, n) + np.repeat(start[take], n)]
         alpha, _ = _forward(body, at, n, trie, p)
         out[take] = np.log(alpha[at + n + np.arange(len(take))]) - (n * np.log(SCALE))[:, None]
-    for w in np.flatnonzero(length > LONG):
-        out[w] = _long(raw[start[w] : start[w] + length[w]], trie, p)
+    return out
+
+
+def _different(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which, start, length): the different strings among raw's ranges, and which of them each range is."""
+    at = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+    body = raw[np.arange(int(at[-1])) - np.repeat(at[:-1], length) + np.repeat(start, length)]
+    column = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(body.tobytes())])
+    coded = column.dictionary_encode()
+    which = np.asarray(coded.indices, dtype=np.int64)
+    first = np.full(len(coded.dictionary), len(start), np.int64)
+    np.minimum.at(first, which, np.arange(len(start)))
+    return which, start[first], length[first]
+
+
+def word_scores(words: pa.Array, trie: Trie, p: np.ndarray) -> np.ndarray:
+    """Log probability of each word in each language, summed over all segmentations."""
+    raw, start, length = _laid(words)
+    out = _scores(raw, start, length, trie, p)
+    long = np.flatnonzero(length > LONG)
+    for lo, hi in _shares(length[long]):
+        some = long[lo:hi]
+        word, at, n = parts_of(raw, start[some], length[some], trie)
+        which, at, n = _different(raw, at, n)
+        of = _scores(raw, at, n, trie, p)
+        still = np.flatnonzero(n > LONG)
+        if len(still):
+            of[still] = _long(raw, at[still], n[still], trie, p)
+        for k in range(p.shape[1]):
+            out[some, k] = np.bincount(word, of[which, k], minlength=len(some))
+    return out
+
+
+def _shares(size: np.ndarray, most: int = LONG_AT_ONCE) -> list[tuple[int, int]]:
+    """Ranges of neighbours of `most` together; a larger one is a range of its own."""
+    upto, out, lo = np.cumsum(size), [], 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, side="right")))
+        out.append((lo, hi))
+        lo = hi
     return out
 
 
 def fit(texts: dict[str, list[str]], pieces: tuple[bytes, ...], rounds: int = ROUNDS) -> Model:
-    """Fit per-language piece probabilities by expectation maximisation; words above LONG bytes are left out of the fit."""
+    """Fit per-language piece probabilities by expectation maximisation.
+
+    All letters of the texts count. Long words are fitted in the parts into which parts_of() cuts them, exactly as they
+    are scored; a part that is longer than LONG bytes itself is fitted in windows of LONG bytes, and what segmentations
+    across two windows would add to the counts is not counted. A language without a letter has equally likely pieces.
+    """
     trie = trie_of(pieces)
     languages = tuple(sorted(texts))
     p = np.zeros((len(pieces), len(languages)))
@@ -214,12 +289,10 @@ def fit(texts: dict[str, list[str]], pieces: tuple[bytes, ...], rounds: int = RO
         some = np.flatnonzero(np.asarray(pc.not_equal(words, "")))
         words, times = words.take(pa.array(some)), times[some]
         raw, start, length = _laid(words)
-        keep = np.flatnonzero(length <= LONG)
-        words, times = words.take(pa.array(keep)), times[keep]
-        raw, start, length = _laid(words)
+        raw, start, length, times = _fitted(raw, start, length, times, trie)
         # The first probabilities fall with a piece's length slower than those of its bytes would.
         q = (start_at / start_at.sum())[:, None]
-        for _ in range(rounds + 1):
+        for _ in range(rounds + 1 if len(start) else 0):
             alpha, (src, dst, piece, first, last, weight) = _forward(raw, start, length, trie, q)
             beta = np.zeros_like(alpha)
             final = start + length + np.arange(len(start))
@@ -235,21 +308,39 @@ def fit(texts: dict[str, list[str]], pieces: tuple[bytes, ...], rounds: int = RO
             q = np.bincount(piece, share, minlength=len(pieces))
             q = np.maximum(q / max(q.sum(), 1.0), FLOOR)
             q = (q / q.sum())[:, None]
-        p[:, k] = q[:, 0]
+        p[:, k] = q[:, 0] if len(start) else 1 / len(pieces)
     return Model(pieces, languages, p)
 
 
+def _fitted(raw: np.ndarray, start: np.ndarray, length: np.ndarray, times: np.ndarray, trie: Trie) -> tuple[np.ndarray, ...]:
+    """raw, start, length and times of the words that fit() goes over: long ones in parts, long parts in windows; equal ones together."""
+    long = length > LONG
+    word, at, n = parts_of(raw, start[long], length[long], trie)
+    count = times[long][word]
+    windows = -(-n // LONG)
+    k = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+    at, left, count = np.repeat(at, windows) + k * LONG, np.repeat(n, windows) - k * LONG, np.repeat(count, windows)
+    start, length, times = np.concatenate([start[~long], at]), np.concatenate([length[~long], np.minimum(left, LONG)]), np.concatenate([times[~long], count])
+    which, start, length = _different(raw, start, length)
+    times = np.bincount(which, times, minlength=len(start))
+    at = np.cumsum(length) - length
+    return raw[np.arange(int(length.sum())) - np.repeat(at, length) + np.repeat(start, length)], at, length, times
+
+
 def train(docs: DataFrame, path: str = VOCABULARY, per_language: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on at most per_language labelled documents of each language (smallest hash of the id), whole texts.
 
-    Only ids and labels are read to choose them; their texts are then read by id, which a Parquet scan prunes by page.
+    Only ids and labels are read to choose them; their texts are then read by a semi-join with the chosen ids, of which
+    there are at most per_language for each language, whatever the table's size. Rows without an id, a label or a text
+    are not fitted on, nor are languages without a letter; a table without any gives a model of one language, und.
     """
     w = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
     labelled = docs.select(id_col, lang_col).where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull())
-    chosen = [r[0] for r in labelled.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_language).select(id_col).distinct().collect()]
+    chosen = labelled.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= per_language).select(id_col).distinct()
     texts: dict[str, list[str]] = {}
-    for r in docs.where(F.col(id_col).isin(chosen)).select(id_col, lang_col, text_col).dropna().orderBy(id_col, lang_col, text_col).toLocalIterator():
-        texts.setdefault(r[1], []).append(r[2])
+    rows = docs.select(id_col, lang_col, text_col).dropna().join(F.broadcast(chosen), id_col, "left_semi").select(lang_col, text_col).toLocalIterator()
+    for r in sorted(tuple(x) for x in rows):
+        texts.setdefault(r[0], []).append(r[1])
     texts = {k: v for k, v in texts.items() if any(c.isalpha() for x in v for c in x)}
     if not texts:
         texts = {"und": ["a"]}
@@ -328,7 +419,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that identify() accepts; one pass, no join."""
+    """The rows of docs, all columns, that identify() accepts; one pass, no join.
+
+    Null, empty and letterless texts go, as identify() does not accept them; repeated rows stay or go alike, rows keep
+    their ids, null or repeated, and all their columns, whatever the names; texts are scored whole; an empty table stays
+    empty.
+    """
     place = docs.columns.index(text_col)
 
     def make():

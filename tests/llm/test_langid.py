@@ -38,14 +38,29 @@ def test_long_words_take_the_same_sum():
     rng = np.random.default_rng(2)
     p = rng.dirichlet(np.ones(len(PIECES)), 2).T
     trie = L.trie_of(PIECES)
-    word = "abcab" * 11
-    raw, start, length = L._laid(pa.array([word], pa.large_string()))
-    assert length[0] <= L.LONG
-    short = L.word_scores(pa.array([word], pa.large_string()), trie, p)[0]
-    assert L._long(raw, trie, p) == pytest.approx(short, rel=1e-9)
+    words = ["abcab" * 11, "a", "abcé", "é" * 20, "ab" * 24]
+    raw, start, length = L._laid(pa.array(words, pa.large_string()))
+    assert length.max() <= L.LONG
+    short = L.word_scores(pa.array(words, pa.large_string()), trie, p)
+    assert L._long(raw, start, length, trie, p) == pytest.approx(short, rel=1e-9)
     assert np.isfinite(L.word_scores(pa.array(["abc" * 40_000], pa.large_string()), trie, p)).all()
 
 
+def test_parts_multiply_to_the_whole():
+    """Long words cut where no piece crosses, against the same words a byte at a time."""
+    rng = np.random.default_rng(4)
+    pieces = L.vocabulary()
+    trie = L.trie_of(pieces)
+    p = rng.dirichlet(np.ones(len(pieces)), 2).T
+    letters = "漢字仮名交文日本語中国人民共和大学生会กขคงจabcthering한국어"
+    words = ["".join(rng.choice(list(letters), n)) for n in (40, 50, 80, 300)] + ["international" * 30]
+    raw, start, length = L._laid(pa.array(words, pa.large_string()))
+    assert (length > L.LONG).all()
+    assert L.word_scores(pa.array(words, pa.large_string()), trie, p) == pytest.approx(L._long(raw, start, length, trie, p), rel=1e-9)
+    word, at, n = L.parts_of(raw, start, length, trie)
+    assert np.bincount(word, n).tolist() == length.tolist() and (n[word < 4] <= L.LONG).any()
+
+
 def test_letter_runs():
     assert L.letter_runs(pa.array(["a--B!!", "&&", "Été3x", ""], pa.large_string())).to_pylist() == [["a", "b"], [""], ["été", "x"], [""]]
 
@@ -95,3 +110,46 @@ def test_tables(spark, odd, none, model):
     assert L.train(none).languages == ("und",)
     half = odd.withColumn("lang", F.when(F.col("doc_id") == 5, "aa").when(F.col("doc_id") == 7, "bb"))
     assert L.train(half).languages == ("aa", "bb")
+
+
+def clause(rng, letters, n):
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+CHINESE, THAI = "的一是不了人我在有他这中大来上国个到说们为子和你地出道也时年", "กขคงจฉชซญดตถทธนบปผฝพฟภมยรลวสหอาิีเแโใไ"
+
+
+def test_scripts_without_spaces(spark, docs_of):
+    """Clauses of 22 and more characters, one-word texts, and a language that has nothing else."""
+    rng = random.Random(5)
+    texts = {"zh": [clause(rng, CHINESE, 40) + "。" + clause(rng, CHINESE, 22) for _ in range(30)], "th": [clause(rng, THAI, 60) for _ in range(30)], "en": [TEXTS["en"]] * 30}
+    for some in (("zh",), ("zh", "en"), ("th", "en"), ("zh", "th", "en")):
+        model = L.fit({k: texts[k] for k in some}, L.vocabulary())
+        score = L.scorer(model)
+        fresh = {"zh": [clause(rng, CHINESE, 50), clause(rng, CHINESE, 1000)], "th": [clause(rng, THAI, 30), clause(rng, THAI, 1000)], "en": ["the cat and the mat", "that"]}
+        for k in some:
+            best, _, margin, lead, _ = score(pa.array(fresh[k], pa.string()))
+            assert [model.languages[b] for b in best] == [k, k] and L.accepted(best, margin, lead).all()
+    rows = docs_of([(i, t) for i, t in enumerate(texts["zh"] + texts["en"])]).withColumn("lang", F.when(F.col("doc_id") < 30, "zh").otherwise("en"))
+    got = L.identify(rows, L.train(rows))
+    assert got.where("accepted").count() == 60 and got.join(rows.select("doc_id", "lang"), "doc_id").where("language = lang").count() == 60
+
+
+def test_unspaced_text_costs_like_spaced():
+    import time
+
+    rng = random.Random(6)
+    pieces = L.vocabulary()
+    trie, p = L.trie_of(pieces), np.random.default_rng(1).dirichlet(np.ones(len(pieces)), 4).T
+    clauses = pa.array([clause(rng, CHINESE, 30) for _ in range(3000)], pa.large_string())
+    words = pa.array(sorted({clause(rng, "etaoinshrdlucm", 8) for _ in range(30_000)}), pa.large_string())
+
+    def rate(x):
+        took = []
+        for _ in range(3):
+            t = time.perf_counter()
+            L.word_scores(x, trie, p)
+            took.append(time.perf_counter() - t)
+        return min(took) / sum(len(w.encode()) for w in x.to_pylist())
+
+    assert rate(clauses) < 2 * rate(words)
