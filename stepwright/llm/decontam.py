@@ -18,17 +18,20 @@ No step loses a match; the result equals brute-force alignment.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from stepwright.llm.common import map_batches, text_bytes
+from stepwright.llm.common import map_batches, once, text_bytes
 
 Q = 10
 RATE = 0.07
-#: Items of fewer normalised bytes than this are no evidence and are left out.
+#: Items of fewer normalised bytes than this are no evidence (any text may hold them by chance); too_short() lists them. Below 20 bytes the q-gram lemma says nothing.
 LEAST = 40
 #: Benchmark bytes that one pass over the documents looks for; a larger benchmark takes several passes.
 BENCHMARK_BYTES = 8_000_000
@@ -177,28 +180,57 @@ class Index:
         return found
 
 
-def _parts(benchmark: DataFrame, item_col: str, text_col: str) -> list[tuple[list, list[str]]]:
-    parts: list[tuple[list, list[str]]] = []
+def too_short(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+    """The rows of benchmark, all columns, whose text has fewer than `least` normalised bytes (null texts too): matches() can't tell anything of them."""
+    place = benchmark.columns.index(text_col)
+
+    def make():
+        def kernel(batch: pa.RecordBatch):
+            raw, offsets = normalised(batch.column(place))
+            size = np.diff(offsets)
+            some = size > 0
+            blank = np.zeros(len(size), np.int64)
+            blank[some] = (raw[offsets[:-1][some]] == 32).astype(np.int64) + ((raw[offsets[1:][some] - 1] == 32) & (size[some] > 1))
+            yield batch.filter(pa.array(size - blank < least))
+
+        return kernel
+
+    return map_batches(benchmark, make, benchmark.schema, text_col)
+
+
+def _parts(benchmark: DataFrame, item_col: str, text_col: str) -> list[tuple[list[int], list[str], list]]:
+    """(place of each text's id, texts, ids) of each pass over the documents; an id's texts are in one pass.
+
+    The benchmark is the small side: its texts come to the driver in turn, BENCHMARK_BYTES for a pass.
+    """
+    parts: list[tuple[list[int], list[str], list]] = []
     size = BENCHMARK_BYTES
-    rows = benchmark.select(item_col, text_col).dropna().distinct().orderBy(item_col, text_col)
-    for r in rows.toLocalIterator():
-        if size >= BENCHMARK_BYTES:
-            parts.append(([], []))
+    rows = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).cast("string").alias("t")).dropna().distinct()
+    kept = [(r[0], r[1]) for r in rows.toLocalIterator()]
+    for i, t in sorted(kept, key=lambda x: (str(x[0]), x[1])):
+        new = not parts or i != parts[-1][2][-1]
+        if size >= BENCHMARK_BYTES and new:
+            parts.append(([], [], []))
             size = 0
-        parts[-1][0].append(r[0])
-        parts[-1][1].append(r[1])
-        size += len(r[1].encode())
+        if new:
+            parts[-1][2].append(i)
+        parts[-1][0].append(len(parts[-1][2]) - 1)
+        parts[-1][1].append(t)
+        size += len(t.encode())
     return parts
 
 
-def _kernel(ids: list, texts: list[str], text_place: int):
+def _kernel(owner: list[int], texts: list[str], text_place: int):
+    """found(batch): (row, place of the item's id, least distance) of each item in each row, once."""
+
     def make():
-        index = Index(ids, texts)
+        digest = hashlib.blake2b("\0".join([*map(str, owner), *texts]).encode()).hexdigest()
+        index = once(("benchmark", digest, LEAST, RATE), lambda: Index(owner, texts))
 
         def found(batch: pa.RecordBatch) -> list[tuple[int, int, int]]:
-            out: list[tuple[int, int, int]] = []
+            out: dict[tuple[int, int], int] = {}
             if not index.items:
-                return out
+                return []
             raw, offsets = normalised(batch.column(text_place))
             at, dense = index.marks(raw)
             bounds = np.searchsorted(at, offsets)
@@ -207,10 +239,12 @@ def _kernel(ids: list, texts: list[str], text_place: int):
                 own = index.near(at[bounds[k] : bounds[k + 1]], dense[bounds[k] : bounds[k + 1]])
                 own = own[own <= offsets[k + 1] - Q] - offsets[k]
                 if len(own):
-                    out += [(int(k), i, d) for i, d in index.matches(raw[offsets[k] : offsets[k + 1]], own)]
-            return out
+                    for i, d in index.matches(raw[offsets[k] : offsets[k + 1]], own):
+                        key = (int(k), index.ids[i])
+                        out[key] = min(d, out.get(key, d))
+            return [(k, i, d) for (k, i), d in out.items()]
 
-        return index, found
+        return found
 
     return make
 
@@ -218,24 +252,27 @@ def _kernel(ids: list, texts: list[str], text_place: int):
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, distance: each benchmark item that is in a document within its edit budget.
 
-    Null, empty and too short texts or items match nothing; a null doc_id stays null; repeated rows of docs each
-    give their rows, repeated items one; texts are searched whole; empty tables give no rows. An item that is in a
-    document more than once gives one row with the least distance. Other columns are not looked at.
+    Null and empty texts or items and items of fewer than LEAST normalised bytes match nothing; ids may be of any type
+    that can be compared; a null doc_id stays null, an item with a null id is left out. Repeated rows of docs each give
+    their rows; repeated items give one, and an id with several texts counts as found if one of them is, at the least
+    distance of all. An item that is in a document more than once gives one row with the least distance. Texts are
+    searched whole; empty tables give no rows. Other columns are not looked at.
     """
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id {item_kind}, distance int"
+    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
+    schema = f"doc_id {kind}, item_id {item_kind.simpleString()}, distance int"
+    item_type = to_arrow_type(item_kind, prefers_large_types=False)
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for ids, texts in _parts(benchmark, item_col, item_text_col) or [([], [])]:
-        prepared = _kernel(ids, texts, 1)
+    for owner, texts, ids in _parts(benchmark, item_col, item_text_col) or [([], [], [])]:
+        prepared = _kernel(owner, texts, 1)
 
-        def make(prepared=prepared):
-            index, found = prepared()
+        def make(prepared=prepared, ids=ids):
+            found = prepared()
 
             def kernel(batch: pa.RecordBatch):
                 rows = found(batch)
                 place = pa.array([k for k, _, _ in rows], pa.int64())
-                items = pa.array([index.ids[i] for _, i, _ in rows], type=_arrow(item_kind))
+                items = pa.array([ids[i] for _, i, _ in rows], type=item_type)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(place), items, pa.array([d for _, _, d in rows], pa.int32())], names=["doc_id", "item_id", "distance"])
 
             return kernel
@@ -245,19 +282,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return out
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that hold no benchmark item; one pass for each part of the benchmark, no join."""
+    """The rows of docs, all columns, that hold no benchmark item; one pass for each part of the benchmark, no join.
+
+    Rows with a null or empty text stay, as do null and repeated ids; repeated rows stay or go alike; texts are searched
+    whole; without items, or with none of LEAST normalised bytes, all rows stay; an empty table stays empty. Columns may
+    have any name.
+    """
     place = docs.columns.index(text_col)
     schema = docs.schema
-    for ids, texts in _parts(benchmark, item_col, item_text_col):
-        prepared = _kernel(ids, texts, place)
+    for owner, texts, _ in _parts(benchmark, item_col, item_text_col):
+        prepared = _kernel(owner, texts, place)
 
         def make(prepared=prepared):
-            _, found = prepared()
+            found = prepared()
 
             def kernel(batch: pa.RecordBatch):
                 keep = np.ones(batch.num_rows, bool)

@@ -212,8 +212,8 @@ def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def oracle_sql() -> str:
     """DuckDB SQL of recognised() over documents, from the tables SENTENCES and RULES alone.
 
-    The sentences are replaced one after another, the longest first, which comes to the same as long as none begins with
-    another's end; each bound is written twice, as the expressions have no look-around.
+    The sentences are replaced one after another, the longest first, which comes to the same unless two overlap in a
+    text; each bound is written twice, as the expressions have no look-around.
     """
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     plain = {}

@@ -131,3 +131,24 @@ def test_edits_in_one_part_of_an_item(spark, docs_of):
     assert {(d, i) for d, i, _ in got} == {(k, 1 + k // 10) for k in range(40)}
     few = [k for k in range(0, 40, 7) if k < 30]
     assert {x for x in got if x[0] in few} == {x for k in few for x in brute([docs[k]], [items[1 + k // 10]])}
+
+
+def test_ids_of_any_type_and_repeated_ids(spark, docs_of):
+    import datetime
+    import decimal
+
+    x, y = prose(601, 16), prose(602, 16)
+    docs = docs_of([(1, prose(1, 20) + " " + x), (2, prose(2, 20) + " " + y + " " + x), (2, prose(2, 20) + " " + y + " " + x), (3, prose(3, 40))])
+    for kind, value in (("smallint", 7), ("tinyint", 7), ("double", 7.5), ("string", "seven"), ("decimal(9,2)", decimal.Decimal("7.25")), ("date", datetime.date(2020, 1, 2)), ("boolean", True)):
+        items = spark.createDataFrame([(value, x), (value, y), (value, y), (None, x)], f"item_id {kind}, text string")
+        got = D.matches(docs, items)
+        assert got.schema["item_id"].dataType.simpleString() == kind
+        assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in got.collect()) == [(1, value, 0), (2, value, 0), (2, value, 0)]
+        assert [r["doc_id"] for r in D.keep_clean(docs, items).collect()] == [3]
+    near = spark.createDataFrame([(1, x[:-3] + "zz"), (1, x)], "item_id int, text string")
+    assert {r["distance"] for r in D.matches(docs, near).collect()} == {0}
+
+
+def test_too_short(spark):
+    items = [(1, "x" * 39), (2, "x" * 40), (3, None), (4, "  " + "x" * 39 + "!! "), (5, ""), (6, "a - b" * 14)]
+    assert sorted(r["item_id"] for r in D.too_short(table(spark, items)).collect()) == [1, 3, 4, 5]

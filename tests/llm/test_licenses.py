@@ -210,8 +210,3 @@ def test_sql_on_fixtures(docs_of):
     want = sorted(con.execute("select doc_id, rule, license, sentences from (" + L.oracle_sql() + ")").fetchall())
     got = sorted((r["doc_id"], r["rule"], r["license"], r["sentences"]) for r in L.recognised(docs_of(rows)).collect())
     assert got == want and len(got) > 150
-
-
-def test_no_sentence_begins_with_the_end_of_another():
-    words = [x.split() for x in L.known() | L.sequences()]
-    assert [(a, b) for a in words for b in words for k in range(2, min(len(a), len(b))) if a[-k:] == b[:k]] == []
