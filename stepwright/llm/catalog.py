@@ -56,7 +56,7 @@ def op8_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chatwin.windows(_table(spark, sf_dir, "conversations"))
+    return chatwin.formatted(_table(spark, sf_dir, "conversations"))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,3 +76,43 @@ def test_odd_rows(spark):
     over = [r for r in got(spark, rows, 50, 2, 20) if r[9]]
     assert [(r[0], r[1]) for r in over] == [(3, 0)]
     assert got(spark, []) == []
+
+
+def test_long_conversations_are_given_out_in_parts(spark, monkeypatch):
+    """Conversations of many batches: the windows are those of the whole, however few turns are held."""
+    rng = random.Random(3)
+    rows = [(c, t, "system" if t < c % 3 else rng.choice(["user", "assistant"]), "w " * rng.randrange(0, 30)) for c in range(5) for t in range(300 if c != 2 else 7)]
+    rows += [(9, t, "system", "w") for t in range(120)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        for held in (1, 20, 100):
+            monkeypatch.setattr(C, "HELD", held)
+            monkeypatch.setattr(C, "ROWS_OUT", 50)
+            for p in ((60, 2, 30), (200, 0, 0), (90, 5, 1000)):
+                assert got(spark, rows, *p) == brute(rows, *p)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_formatted(spark):
+    rng = random.Random(5)
+    rows = [(c, t, rng.choice(["system", "user", "assistant", None]), rng.choice([None, "", "a <|end|> b", "été 漢字", "w " * 30])) for c in range(40) for t in range(rng.randrange(1, 12))]
+    rows += rows[:20] + [(None, 0, "user", "x")]
+    by = defaultdict(list)
+    for r in brute(rows, 80, 2, 40):
+        by[r[0], r[1]].append(r)
+    out = C.formatted(table(spark, rows), 80, 2, 40).collect()
+    assert len(out) == len(by)
+    targets = 0
+    for r in out:
+        want = sorted(by[r["conv_id"], r["window"]], key=lambda x: x[2])
+        assert (r["turns"], r["repeated"], r["tokens"], r["over_budget"]) == (len(want), sum(x[6] for x in want), want[0][8], want[0][9])
+        pieces = r["text"].split("<|end|>\n")
+        assert pieces[-1] == "" and [p.split("|>\n")[0] for p in pieces[:-1]] == ["<|" + (x[4] or "unknown") for x in want]
+        assert [size(p.split("|>\n", 1)[1].replace("< |", "<|")) for p in pieces[:-1]] == [x[5] for x in want]
+        spans = [tuple(map(int, x.split(":"))) for x in r["targets"].split()]
+        learned = [r["text"][a:b] for a, b in spans]
+        assert learned == [p.split("|>\n", 1)[1] + "<|end|>" for p, x in zip(pieces, want, strict=False) if x[7]]
+        targets += len(spans)
+    assert targets > 20
+    assert C.formatted(table(spark, [])).collect() == []
