@@ -230,10 +230,10 @@ def oracle_sql() -> str:
                coalesce(list_filter([{earlier}], lambda b: b >= l.lead_n AND l.t[s.stop + 1] - l.t[b + 1] <= {HISTORY_TOKENS} AND l.t[s.stop + 2] - l.t[b + 1] <= l.room)[1], s.stop) AS back
         FROM steps s JOIN lists l ON l.conv_id = s.conv_id WHERE s.stop < l.n)),
     taken AS (SELECT s.conv_id, s.w, u.k, u.role, u.body, u.tokens, '<|' || coalesce(u.role, 'unknown') || '|>' || chr(10) AS front, (u.k < lead_n AND s.w > 0) OR (u.k >= lead_n AND u.k < s.start) AS repeated
-              FROM steps s JOIN lists l ON l.conv_id = s.conv_id JOIN numbered u ON u.conv_id = s.conv_id AND (u.k < lead_n OR (u.k >= s.back AND u.k < s.stop)))
+              FROM steps s JOIN lists l ON l.conv_id = s.conv_id JOIN numbered u ON u.conv_id = s.conv_id AND (u.k < lead_n OR (u.k >= s.back AND u.k < s.stop))),
     placed AS (SELECT *, coalesce(role = 'assistant', false) AND NOT repeated AS target, length(front) + coalesce(sum(length(front) + length(body) + 8)
-               OVER (PARTITION BY conv_id, w ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM taken)
+               OVER (PARTITION BY conv_id, w ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM taken)
     SELECT conv_id, CAST(w AS INTEGER) AS "window", CAST(count(*) AS INTEGER) AS turns, CAST(count(*) FILTER (WHERE repeated) AS INTEGER) AS repeated,
            CAST(sum(tokens) AS INTEGER) AS tokens, sum(tokens) > {BUDGET} AS over_budget, string_agg(front || body || '<|end|>' || chr(10), '' ORDER BY k) AS text,
-           coalesce(string_agg(CAST(at AS BIGINT) || ':' || CAST(at + length(body) + 7 AS BIGINT), ' ' ORDER BY k) FILTER (WHERE target), '') AS targets
+           coalesce(string_agg(CAST(pos AS BIGINT) || ':' || CAST(pos + length(body) + 7 AS BIGINT), ' ' ORDER BY k) FILTER (WHERE target), '') AS targets
     FROM placed GROUP BY conv_id, w"""
