@@ -10,6 +10,7 @@ which data bytes its four ids take.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -34,8 +35,8 @@ def merges(path: str = VOCABULARY) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
 
 
-def tokenizer(path: str = VOCABULARY):
-    """Returns text array -> (ids of all texts, offsets of each text's).
+def tokenizer(ranks: dict[bytes, int] | None = None):
+    """Returns text array -> (ids of all texts, offsets of each text's), by the merges of VOCABULARY if none are given.
 
     The pattern never joins a character with a space that follows it unless both are white space. So a text without
     white space before a space is taken apart before each space, and each different part is tokenised once: the
@@ -44,8 +45,10 @@ def tokenizer(path: str = VOCABULARY):
     """
     import tiktoken
 
-    coder = once(("coder", path), lambda: tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=merges(path), special_tokens={}))
-    spaced = np.zeros(1 << 16, bool)
+    ranks = merges() if ranks is None else ranks
+    digest = hashlib.blake2b(b"".join(b"%d %b " % (i, x) for x, i in ranks.items())).hexdigest()
+    coder = once(("coder", digest), lambda: tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}))
+    spaced = np.zeros(max(ranks.values()) + 1, bool)
     spaced[[i for token, i in coder._mergeable_ranks.items() if token[:1] == b" "]] = True
 
     def one(text: str) -> np.ndarray:
@@ -139,16 +142,23 @@ def decode_ids(control: bytes, data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(body[at]).view("<u4").reshape(-1)[:n]
 
 
+def _stored(n_ids: int) -> np.dtype:
+    """The type of ids between the two passes: 2 bytes if they suffice for the vocabulary, else 4."""
+    return np.dtype("<u2" if n_ids <= 1 << 16 else "<u4")
+
+
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """doc_id and ids (16-bit little-endian) of each row."""
+    """doc_id and ids (little-endian, of 16 bits, or 32 for vocabularies of more than 65,536 ids) of each row."""
+    ranks = merges(path)  # read once here and sent with the job: executors need no file
+    dtype = _stored(max(ranks.values()) + 1)
 
     def make():
-        encode = tokenizer(path)
+        encode = tokenizer(ranks)
 
         def kernel(batch: pa.RecordBatch):
             ids, edge = encode(batch.column(1))
-            raw = ids.astype("<u2").tobytes()
-            column = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer((edge * 2).astype(np.int64).tobytes()), pa.py_buffer(raw)]).cast(pa.binary())
+            raw = ids.astype(dtype).tobytes()
+            column = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer((edge * dtype.itemsize).astype(np.int64).tobytes()), pa.py_buffer(raw)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), column], names=["doc_id", "ids"])
 
         return kernel
@@ -158,23 +168,24 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     return map_batches(chosen, make, f"doc_id {kind}, ids binary", "text", SLICE)
 
 
-def ranking(tokens: DataFrame) -> np.ndarray:
+def ranking(tokens: DataFrame, n_ids: int) -> np.ndarray:
     """rank[id] by falling frequency over all rows of tokenised(), ties by id; a table of the vocabulary's size."""
+    dtype = _stored(n_ids)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
+        total = np.zeros(n_ids, np.int64)
         for b in batches:
             raw, _ = text_bytes_of(b.column(0))
-            total += np.bincount(raw.view("<u2"), minlength=1 << 16)
+            total += np.bincount(raw.view(dtype), minlength=n_ids)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["id", "n"])
 
     rows = tokens.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    n = np.zeros(1 << 16, np.int64)
+    n = np.zeros(n_ids, np.int64)
     for r in rows:
         n[r[0]] = r[1]
-    rank = np.empty(1 << 16, np.int64)
-    rank[np.lexsort((np.arange(1 << 16), -n))] = np.arange(1 << 16)
+    rank = np.empty(n_ids, np.int64)
+    rank[np.lexsort((np.arange(n_ids), -n))] = np.arange(n_ids)
     return rank.astype(np.uint32)
 
 
@@ -192,17 +203,18 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
 
     Null and empty texts have no tokens and empty control and data; null ids and repeated rows pass through; texts
     are tokenised whole; equally frequent ids rank by id; an empty table gives no rows. Other columns are not looked
-    at. The tokens are written once to the shared folder, counted from there, and renumbered.
+    at. The vocabulary may have any number of ids up to 2**31. The tokens are written once to the shared folder, counted from there, and renumbered.
     """
     tokens = written(tokenised(docs, id_col, text_col, path), "tokens")
-    rank = ranking(tokens)
+    n_ids = max(merges(path).values()) + 1
+    rank, dtype = ranking(tokens, n_ids), _stored(n_ids)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 b = batch.slice(lo, 2000)
                 raw, edge = text_bytes_of(b.column(1))
-                ids, edge = rank[raw.view("<u2")], edge // 2
+                ids, edge = rank[raw.view(dtype)], edge // dtype.itemsize
                 both = [encode_ids(ids[edge[k] : edge[k + 1]]) for k in range(b.num_rows)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(edge), pa.int64()), pa.array([x for x, _ in both], pa.binary()), pa.array([x for _, x in both], pa.binary())], names=["doc_id", "n_tokens", "control", "data"])
 

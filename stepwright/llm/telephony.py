@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepwright.llm.common import map_batches
+from stepwright.llm.common import free_names, map_batches
 
 BLOCK_ALIGN = 256
 RATE_IN = 8000
@@ -141,8 +141,8 @@ def to_pcm(audio: DataFrame, keys: list[str], codec_col: str = "codec", payload_
 
     A null payload or a codec other than mulaw, alaw and adpcm gives null n_samples and pcm; an empty payload gives
     0 samples. A last ADPCM block of 4 bytes or fewer has no sample. Null keys and repeated rows pass through; long
-    payloads are decoded whole; an empty table gives no rows. Columns beyond those named are not looked at; a key
-    must not be called codec, sample_rate, n_samples or pcm.
+    payloads are decoded whole; an empty table gives no rows. Columns beyond those named are not looked at. A key may
+    have any name; if it is that of a result, the result has an underscore before its own.
     """
     g = gcd(rate_in, rate_out)
     up, down = rate_out // g, rate_in // g
@@ -153,10 +153,12 @@ def to_pcm(audio: DataFrame, keys: list[str], codec_col: str = "codec", payload_
             pcm = resample_all(decode(codec, batch.column(len(keys) + 1).to_pylist(), block_align), up, down)
             columns = [*batch.columns[: len(keys)], batch.column(len(keys)), pa.array([rate_out] * len(codec), pa.int32())]
             columns += [pa.array([None if x is None else len(x) for x in pcm], pa.int64()), pa.array([None if x is None else x.astype("<i2").tobytes() for x in pcm], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "codec", "sample_rate", "n_samples", "pcm"])
+            yield pa.RecordBatch.from_arrays(columns, names=[f"key{k}" for k in range(len(keys))] + ["codec", "sample_rate", "n_samples", "pcm"])
 
         return kernel
 
-    chosen = audio.select(*keys, F.col(codec_col).cast("string").alias("codec"), F.col(payload_col).cast("binary").alias("payload"))
-    own = ", ".join(f"`{k}` {audio.schema[k].dataType.simpleString()}" for k in keys)
-    return map_batches(chosen, make, f"{own}, codec string, sample_rate int, n_samples long, pcm binary", "payload")
+    inner = [F.col(f"`{k}`").alias(f"key{n}") for n, k in enumerate(keys)]
+    chosen = audio.select(*inner, F.col(f"`{codec_col}`").cast("string").alias("codec"), F.col(f"`{payload_col}`").cast("binary").alias("payload"))
+    own = "".join(f"key{n} {audio.schema[k].dataType.simpleString()}, " for n, k in enumerate(keys))
+    out = map_batches(chosen, make, f"{own}codec string, sample_rate int, n_samples long, pcm binary", "payload")
+    return out.toDF(*keys, *free_names(audio.select(*(F.col(f"`{k}`") for k in keys)), "codec", "sample_rate", "n_samples", "pcm"))

@@ -53,3 +53,25 @@ def test_encoded(spark, docs_of):
 def test_odd_rows(spark, odd, none):
     check(spark, odd, ODD)
     assert V.encoded(none).collect() == []
+
+
+def test_vocabulary_of_more_than_65536_ids(docs_of, tmp_path):
+    """The same merges and 20,000 more after a gap: ids of the added ones need more than 16 bits."""
+    import base64
+
+    ranks = V.merges()
+    extra = {b"qz%d" % k: 70_000 + k for k in range(20_000)}
+    assert not set(extra) & set(ranks)
+    steps = {x[:k] for x in extra for k in range(2, len(x))} - set(ranks) - set(extra)
+    ranks |= {x: 100_000 + k for k, x in enumerate(sorted(steps, key=lambda x: (len(x), x)))}
+    path = tmp_path / "large.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(x) + b" %d\n" % i for x, i in (ranks | {x: i + 50_000 for x, i in extra.items()}).items()))
+    rows = [(1, "a qz12345 text of qz17 words"), (2, None), (3, "qz19999")]
+    large = V.merges(str(path))
+    assert max(large.values()) > 65_536
+    coder = tiktoken.Encoding("large", pat_str=V.PATTERN, mergeable_ranks=large, special_tokens={})
+    tokens = V.tokenised(docs_of(rows), path=str(path))
+    rank = V.ranking(tokens, max(large.values()) + 1)
+    for r in V.encoded(docs_of(rows), path=str(path)).collect():
+        want = coder.encode_ordinary(dict(rows)[r["doc_id"]] or "")
+        assert V.decode_ids(r["control"], r["data"], r["n_tokens"]).tolist() == rank[want].tolist()

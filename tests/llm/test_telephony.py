@@ -102,3 +102,11 @@ def test_column(spark):
         if pcm is not None:
             assert np.array_equal(np.frombuffer(r["pcm"], "<i2"), T.resample(pcm, 2, 1))
     assert T.to_pcm(df.limit(0), ["id"]).collect() == []
+
+
+def test_keys_of_any_name(spark):
+    rows = [("k", 1, 2, "mulaw", b"abc")]
+    audio = spark.createDataFrame(rows, "payload string, pcm int, `a.b` int, c string, p binary")
+    out = T.to_pcm(audio, ["payload", "pcm", "a.b"], "c", "p")
+    assert out.columns == ["payload", "pcm", "a.b", "codec", "sample_rate", "n_samples", "_pcm"]
+    assert [tuple(r)[:6] for r in out.collect()] == [("k", 1, 2, "mulaw", 16000, 6)]

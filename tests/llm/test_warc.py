@@ -30,7 +30,7 @@ def test_decode_chunked_round_trip():
 
 
 def rows(spark, records):
-    df = spark.createDataFrame([(*r, "clash", 7) for r in records], warc.RECORDS + ", number string, segments int")
+    df = spark.createDataFrame([(*r, "clash", 7) for r in records], warc.RECORDS.removesuffix(", damage string") + ", number string, segments int")
     return {r["record_id"]: r for r in warc.reassemble(df).collect()}
 
 
@@ -70,3 +70,48 @@ def test_read_files(spark, tmp_path):
     (tmp_path / "2.warc.gz").write_bytes(gzip.compress(two))
     got = warc.reassemble(warc.read_warc(spark, str(tmp_path))).collect()
     assert [(r["record_id"], r["status"], bytes(r["body"])) for r in got] == [("a", "ok", b"WARC/ inside end")]
+
+
+def a_record(head: dict, block: bytes) -> bytes:
+    return b"WARC/1.0\r\n" + b"".join(b"%b: %b\r\n" % (k.encode(), v.encode()) for k, v in ({"Content-Length": str(len(block))} | head).items()) + b"\r\n" + block + b"\r\n\r\n"
+
+
+def small(data: bytes, n: int = 7):
+    """parse_stream() of data in chunks of n bytes."""
+    return list(warc.parse_stream(warc.inflated(data[k : k + n] for k in range(0, len(data), n))))
+
+
+def test_damaged_files():
+    random.seed(4)
+    records = [a_record({"WARC-Record-ID": f"<{k}>", "WARC-Type": "response"}, random.randbytes(300)) for k in range(5)]
+    whole = [(str(k), None) for k in range(5)]
+    names = lambda rows: [(r[0], r[7]) for r in rows]
+    plain, zipped = b"".join(records), [gzip.compress(r) for r in records]
+    for data in (plain, gzip.compress(plain), b"".join(zipped)):
+        for n in (1, 7, 10_000):
+            assert names(small(data, n)) == whole
+        assert names(list(warc.parse_warc(data))) == whole
+    assert small(b"") == [] and small(b"no records here") == [] and small(b"\x1f") == []
+    # A file that breaks off: the last record has what there is.
+    cut = small(plain[:-100])
+    assert names(cut) == [*whole[:4], ("4", "truncated")] and len(cut[4][6]) == 300 - 96
+    assert names(small(b"".join(zipped)[:-60])) == [*whole[:4], ("4", "truncated")]
+    # Wrong heads: the next record is found.
+    for bad in ({"Content-Length": "many"}, {"Content-Length": "-3"}, {"WARC-Segment-Number": "two"}):
+        assert names(small(records[0] + a_record({"WARC-Record-ID": "<x>"} | bad, b"block") + records[1])) == [("0", None), ("x", "bad_head"), ("1", None)]
+    assert [r[7] for r in small(records[0] + b"WARC/1.0\r\nno end" + b"x" * 70_000)] == [None, "bad_head"]
+    # A damaged member: the others are read.
+    broken = bytearray(zipped[1])
+    broken[60:90] = bytes(30)
+    got = names(small(zipped[0] + bytes(broken) + zipped[2]))
+    assert got[0] == ("0", None) and got[-1] == ("2", None) and any(d for _, d in got)
+
+
+def test_damage_fails_no_job(spark, tmp_path):
+    good = a_record({"WARC-Record-ID": "<a>", "WARC-Type": "response"}, HEAD + b"0\r\n\r\n")
+    (tmp_path / "1.warc").write_bytes(good + a_record({"WARC-Record-ID": "<r>", "WARC-Type": "request"}, b"GET /") + a_record({"WARC-Type": "warcinfo", "WARC-Record-ID": "<i>"}, b"x"))
+    (tmp_path / "2.warc.gz").write_bytes(gzip.compress(a_record({"WARC-Record-ID": "<b>", "WARC-Type": "response"}, random.randbytes(5000)))[:-1000])
+    (tmp_path / "3.warc").write_bytes(a_record({"WARC-Record-ID": "<c>", "WARC-Type": "response", "Content-Length": "abc"}, b"x"))
+    (tmp_path / "4.warc").write_bytes(b"")
+    got = {r["record_id"]: r["status"] for r in warc.reassemble(warc.read_warc(spark, str(tmp_path))).collect()}
+    assert got == {"a": "ok", "b": "damaged", "c": "damaged"}
