@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import sys
 import tempfile
 import types
@@ -20,10 +21,16 @@ SLICE_BYTES = 3_000_000
 BROADCAST_ROWS = 4_000_000
 
 
+#: Tables that written() has made and nothing has removed.
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a local one only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir, which all executors share; a local one where that is unset on a local master (tests), else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="stepwright-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -33,10 +40,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and return the written table: its lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_written() -> int:
+    """How many tables written() has made and nothing has removed."""
+    return len(_WRITTEN)
+
+
+def remove_written(spark: SparkSession, first: int, last: int | None = None) -> None:
+    """Delete the tables that written() made from the first to before the last: for use when what was made of them is written itself."""
+    paths = _WRITTEN[first:last]
+    del _WRITTEN[first:last]
+    for at in paths:
+        remove(spark, at)
+
+
+def remove(spark: SparkSession, at: str) -> None:
+    """Delete a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """Names that are like those given and no column of df has, in upper or lower case."""
     taken = {c.lower() for c in df.columns}

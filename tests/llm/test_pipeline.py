@@ -1,5 +1,6 @@
 import corpus_pipeline as P
 import oracle
+import pytest
 from llm_texts import ODD
 from oracle import SF
 from pyspark.sql import functions as F
@@ -52,3 +53,26 @@ def test_odd_rows(spark, odd, none):
         docs.collect()
     assert P.near_duplicates(spark, odd, SF).count() == len(ODD) - 1
     assert P.ORACLE_SQL is None and [n for n, _ in P.STAGES] == ["language", "near_duplicates", "decontamination", "secrets", "packing"]
+
+
+def test_run_leaves_what_the_result_needs(spark):
+    from pathlib import Path
+
+    from stepwright.llm import common
+
+    root = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(root.glob("*"))
+    P.run(spark, SF).count()
+    left = [p for p in root.glob("*") if p not in before]
+    assert sorted(p.name.partition("-")[0] for p in left) == ["lengths", "pieces", "pipeline"]
+    assert [x.name for p in left if p.name.startswith("pipeline") for x in p.iterdir()] == ["secrets"]
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark):
+    import types
+
+    from stepwright.llm import common
+
+    cluster = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *a: None), sparkContext=types.SimpleNamespace(master="spark://host:7077", getConf=lambda: {}))
+    with pytest.raises(RuntimeError):
+        common.shared_dir(cluster)
