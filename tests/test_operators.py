@@ -152,7 +152,68 @@ def test_buckets(spark):
 def test_pool_types(spark):
     df = spark.createDataFrame([(True, ["a"], [], 0.0), (False, [], ["k"], 0.9), (False, [], [], 0.6), (False, [], [], 0.4), (False, [], [], 0.1), (False, ["a"], [], 0.9), (False, [], [], 0.3), (False, ["a", "b"], [], 0.9)], "target boolean, fc array<string>, fk array<string>, al double")
     got = [tuple(r[0]) for r in df.select(P.pool_type(F.col("target"), F.col("fc"), F.col("fk"), F.col("al"))).collect()]
-    assert got == [("TARGET", 4), ("H", 1), ("STRONG", 4), ("STRONG", 3), ("T", 2), ("PARTIAL", 1), ("PARTIAL", 2), ("HARD_NEG", 0)]
+    partial, soft = ("Type_PARTIAL", 1, "partial_constraint_miss"), ("Type_PARTIAL", 2, "soft_semantic_partial")
+    assert got == [("Type_TARGET", 4, "target"), ("Type_H", 1, "history_shortcut"), ("Type_STRONG", 4, "strong_positive"), ("Type_STRONG", 3, "strong_positive"), ("Type_T", 2, "caption_miss"), partial, soft, ("Type_HARD_NEG", 0, "hard_negative")]
+
+
+STEP = "step int, source int, target int, seed int, prior array<int>, references array<int>, terms struct<new: array<string>, lost: array<string>, kept: array<string>>"
+
+
+def test_candidates_by_hand(spark):
+    """Ranks of clips that are no neighbours, the four neighbourhoods, and the end at 4 * most neighbours or clips."""
+    steps = spark.createDataFrame([(1, 10, 20, 30, [11, 10], [11], ([], [], []))], STEP)
+    e = [(10, 20, 1, 2, 0.9, 0.1, 0.5), (10, 40, 2, 1, 0.8, 0.9, 0.6), (20, 40, 5, 1, 0.95, 0.2, 0.3), (30, 50, 1, 1, 0.7, 0.0, 0.2), (11, 60, 1, 1, 0.6, 0.0, 0.1)]
+    edges = spark.createDataFrame(e, "source int, target int, audio_rank int, rerank_rank int, audio_similarity double, text_similarity double, rerank_score double")
+    got = {r["clip"]: r for r in P.merge_candidates(P.candidate_sources(steps, edges), 8).collect()}
+    assert {k: list(r["labels"]) for k, r in got.items()} == {20: ["exact_target", "source_neighborhood"], 10: ["source_clip", "chain_history_target"], 11: ["chain_history_target"], 40: ["source_neighborhood", "target_neighborhood"], 50: ["seed_neighborhood"], 60: ["history_reference_neighborhood"]}
+    assert (got[20]["rerank_rank"], got[20]["audio_similarity"], got[20]["to_source"], got[20]["to_target"], got[20]["is_target"]) == (2, 1.0, 0.9, 1.0, True)
+    assert (got[11]["audio_rank"], got[11]["rerank_score"]) == (P.NO_RANK, 0.0)
+    assert (got[40]["audio_rank"], got[40]["to_target"], got[40]["to_source"], got[40]["text_similarity"]) == (2, 0.95, 0.8, 0.9)
+    assert set(r["clip"] for r in P.merge_candidates(P.candidate_sources(steps, edges, 0.25), 8).collect()) == {20, 10, 11, 40}
+    many = spark.createDataFrame([(10, 100 + k, k, k, 0.5, 0.5, 0.5) for k in range(1, 30)], edges.schema)
+    # Target, source and one earlier clip, then neighbours up to 4 different clips in all: one.
+    assert sorted(r["clip"] for r in P.merge_candidates(P.candidate_sources(steps, many), 1).collect()) == [10, 11, 20, 101]
+
+
+def test_scores_by_hand(spark):
+    steps = spark.createDataFrame([(1, 10, 20, 30, [], [], (["vocals:vocal", "jazz", "warm strings"], ["rock"], ["calm"]))], STEP)
+    clip = "clip_id int, tags array<string>, caption string, lyrics string, vocals string, speed string, split string, text_vec array<double>"
+    clips = spark.createDataFrame([(10, ["rock", "calm"], "slow rock", "", "instrumental", "slow", "val", [1.0, 0.0]), (20, ["jazz", "calm"], "warm strings here", "", "vocal", "slow", "val", [0.0, 1.0]), (40, ["jazz"], "Warm strings and rock", "", "vocal", "fast", "val", [0.6, 0.8])], clip)
+    names = ["audio_rank", "rerank_rank", "ordinal", "audio_similarity", "text_similarity", "rerank_score", "to_target", "to_seed", "to_source"]
+    cand = spark.createDataFrame([(1, 40, 1, 1, 7, 0.5, 0.3, 0.4, 0.0, 0.2, 0.1, False, ["x"]), (1, 20, 1, 1, 0, 1.0, 1.0, 1.0, 1.0, 0.0, 0.0, True, ["t"])], "step int, clip int, " + ", ".join(f"{n} {'int' if n.endswith('rank') or n == 'ordinal' else 'double'}" for n in names) + ", is_target boolean, labels array<string>")
+    got = {r["clip"]: r for r in P.scored(cand, steps, clips).collect()}
+    r = got[40]
+    # Tags alone: vocals and jazz of three new ones, rock is away, calm is not there; captions: warm strings is the one caption term.
+    assert (round(r["constraints"]["add"], 6), r["constraints"]["remove"], r["constraints"]["preserve"]) == (0.666667, 1.0, 0.0)
+    assert [list(x) for x in r["in_captions"]] == [["warm strings"], [], []] and r["caption_constraints"]["mean"] == 1.0
+    # The caption says rock, so the lost term is there; calm is kept nowhere.
+    assert (r["failed_change"], r["failed_keep"]) == (["rock"], ["calm"]) and r["satisfied"] == ["vocals:vocal", "jazz", "warm strings"]
+    assert (r["text_recall"], r["text_precision"]) == (2 / 3, 2 / 4) and (r["tag_recall"], r["tag_precision"]) == (0.5, 1.0) and r["embedding_to_target"] == 0.8
+    affinity, mean = max(0.1, 0.2, 1 / 2, 1 / 4), (2 / 3 + 1 + 0) / 3
+    want = (0.15 * affinity + 0.25 * 0.0 + 0.2 * mean + 0.15 * 0.5 + 0.05 * 1.0 + 0.1 * 2 / 3 + 0.05 * 0.5 + 0.1 * max(0.4, 0.3)) / 1.05
+    assert r["final"] == round(want, 9) and r["alignment"] == 1.0 and (r["pool_type"], r["grade"]) == ("Type_HARD_NEG", 0)
+    assert (got[20]["pool_type"], got[20]["failed"]) == ("Type_TARGET", [])
+
+
+def test_pool_order_and_judge(spark):
+    kinds = ["Type_TARGET"] + ["Type_HARD_NEG"] * 4 + ["Type_H", "Type_STRONG", "Type_T"]
+    df = spark.createDataFrame([(1, k, k, t, P.TYPES[t][0], 0.9 - k / 100, 0.0, 0.0, "val", t == "Type_TARGET", P.TYPES[t][1]) for k, t in enumerate(kinds)], "step int, clip int, ordinal int, pool_type string, grade int, final double, to_target double, to_source double, split string, is_target boolean, failure_category string")
+    # Type after type, not grade after grade; hard negatives beyond their quota of 2 fill up.
+    assert rows(P.select_pool(df, 8).orderBy("position"), "position", "clip") == list(enumerate([0, 6, 5, 7, 1, 2, 3, 4], 1))
+    assert rows(P.select_pool(df, 5), "position", "clip") == list(enumerate([0, 6, 5, 7, 1], 1))
+    v = spark.createDataFrame([(1, 0, "Type_T", 2, None), (1, 1, "Type_STRONG", 4, None), (1, 5, None, None, None), (1, 7, "Type_T", None, "own words")], "step int, clip int, pool_type string, grade int, failure_category string")
+    got = {r["clip"]: (r["pool_type"], r["grade"], r["failure_category"], r["label_source"], r["changed"]) for r in P.judged(df, v, ("val",)).collect()}
+    assert got[0] == ("Type_TARGET", 4, "target", "deterministic", False) and got[1] == ("Type_STRONG", 4, "strong_positive", "llm_judge", True)
+    assert got[5] == ("Type_H", 1, "history_shortcut", "llm_judge", False) and got[7] == ("Type_T", 2, "own words", "llm_judge", False)
+    assert {r["label_source"] for r in P.judged(df, v, ("test",)).collect()} == {"deterministic"}
+
+
+def test_reason_codes_and_solvability(spark):
+    df = spark.createDataFrame([(None, ""), ("Type_TARGET", "target"), ("Type_STRONG", "strong_positive"), ("Type_H", "history_shortcut"), ("Type_T", "caption_miss"), ("Type_PARTIAL", "soft_semantic_partial"), ("Type_PARTIAL", ""), ("Type_HARD_NEG", "own words")], "t string, f string")
+    got = [r[0] for r in df.select(P.reason_code(F.col("t"), F.col("f"))).collect()]
+    assert got == ["failed:too_semantically_far_from_target", "success:target", "success:strong", "failed:history_shortcut", "failed:caption_miss", "failed:partial_constraint_miss", "failed:unclassified", "failed:own words"]
+    s = spark.createDataFrame([(1, 1, True, 0.2, 0.6), (1, 2, False, 0.7, 0.1), (2, 1, False, 0.9, 0.9), (3, 1, True, 0.1, 0.2), (4, 9, True, 0.5, 0.5), (4, 3, False, 0.5, 0.1)], "step int, clip int, is_target boolean, lexical_score double, encoder_score double")
+    assert rows(P.solvability(s), "step", "target_rank", "target_score", "target_encoder_score", "flagged") == [(1, 2, 0.6, 0.6, True), (2, None, 0.0, 0.0, False), (3, 1, 0.2, 0.2, False), (4, 2, 0.5, 0.5, True)]
 
 
 def test_agreement_at_its_edges(spark):
