@@ -73,11 +73,18 @@ def history_references(steps: DataFrame, k: int = 2) -> DataFrame:
     return e.withColumn("place", place).where(F.col("place") <= k)
 
 
-def semantic_item(term: Column, tags: Column, captions: Column, lyrics: Column) -> Column:
-    """struct(text, source, kind) of a term: its facet prefix decides, else where it is found, in the order tags, captions, lyrics."""
+def item_source(term: Column, tags: Column, captions: Column, lyrics: Column) -> Column:
+    """Where a term comes from: tag for prefixed facets, else where it is found, in the order tags, captions, lyrics."""
     t = F.lower(strip(term))
     found = lambda a: F.exists(a, lambda x: (x != "") & F.contains(F.lower(x), t))
-    source = F.when(found(tags), "tag").when(found(captions), "caption").when(found(lyrics), "lyrics").when(F.contains(t, F.lit(" ")), "caption").otherwise("semantic")
+    facet = t.startswith("vocals:") | t.startswith("speed:")
+    return F.when(facet | found(tags), "tag").when(found(captions), "caption").when(found(lyrics), "lyrics").when(F.contains(t, F.lit(" ")), "caption").otherwise("semantic")
+
+
+def semantic_item(term: Column, tags: Column, captions: Column, lyrics: Column) -> Column:
+    """struct(text, source, kind) of a term: its facet prefix decides, else item_source() and the hints of its words."""
+    t = F.lower(strip(term))
+    source = item_source(term, tags, captions, lyrics)
     words = F.split(F.regexp_replace(t, "-", " "), " ")
     kind = None
     for name, hint in HINTS:

@@ -181,11 +181,11 @@ def test_scores_by_hand(spark):
     clips = spark.createDataFrame([(10, ["rock", "calm"], "slow rock", "", "instrumental", "slow", "val", [1.0, 0.0]), (20, ["jazz", "calm"], "warm strings here", "", "vocal", "slow", "val", [0.0, 1.0]), (40, ["jazz"], "Warm strings and rock", "", "vocal", "fast", "val", [0.6, 0.8])], clip)
     names = ["audio_rank", "rerank_rank", "ordinal", "audio_similarity", "text_similarity", "rerank_score", "to_target", "to_seed", "to_source"]
     cand = spark.createDataFrame([(1, 40, 1, 1, 7, 0.5, 0.3, 0.4, 0.0, 0.2, 0.1, False, ["x"]), (1, 20, 1, 1, 0, 1.0, 1.0, 1.0, 1.0, 0.0, 0.0, True, ["t"])], "step int, clip int, " + ", ".join(f"{n} {'int' if n.endswith('rank') or n == 'ordinal' else 'double'}" for n in names) + ", is_target boolean, labels array<string>")
-    got = {r["clip"]: r for r in P.scored(cand, steps, clips).collect()}
+    got = {r["clip"]: r for r in P.scored(cand, steps, P.prepared(clips)).collect()}
     r = got[40]
     # Tags alone: vocals and jazz of three new ones, rock is away, calm is not there; captions: warm strings is the one caption term.
     assert (round(r["constraints"]["add"], 6), r["constraints"]["remove"], r["constraints"]["preserve"]) == (0.666667, 1.0, 0.0)
-    assert [list(x) for x in r["in_captions"]] == [["warm strings"], [], []] and r["caption_constraints"]["mean"] == 1.0
+    assert [[t["text"] for t in x] for x in r["in_captions"]] == [["warm strings"], [], []] and r["caption_constraints"]["mean"] == 1.0
     # The caption says rock, so the lost term is there; calm is kept nowhere.
     assert (r["failed_change"], r["failed_keep"]) == (["rock"], ["calm"]) and r["satisfied"] == ["vocals:vocal", "jazz", "warm strings"]
     assert (r["text_recall"], r["text_precision"]) == (2 / 3, 2 / 4) and (r["tag_recall"], r["tag_precision"]) == (0.5, 1.0) and r["embedding_to_target"] == 0.8
