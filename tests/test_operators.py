@@ -231,12 +231,64 @@ def test_histogram_edges(spark):
         R.histogram(df, F.col("v"), 2, 1.0, 1.0)
 
 
+def brute_search(tracks, text):
+    """{track: (stage, score)} by a plain walk: tracks in order of their keys, with lists of parts."""
+    import difflib
+    import re
+
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    each = {k: " ".join(dict.fromkeys(p.strip() for p in parts if p and p.strip())).lower() for k, parts in tracks.items()}
+    words = {k: list(dict.fromkeys(re.findall("[a-z0-9]+", t))) for k, t in each.items()}
+    vocabulary = sorted({w for v in words.values() for w in v})
+    q = text.strip().lower()
+    tokens = list(dict.fromkeys(re.findall("[a-z0-9]+", q)))
+    similar = []
+    for t in tokens:
+        if len(t) >= 3 and len(similar) < 12:
+            similar += [w for _, w in sorted(((ratio(t, w), w) for w in vocabulary if w[:2] == t[:2] and ratio(t, w) >= 0.82), reverse=True)[:3]]
+    stages = [("all", set(each) if not tokens else set()), ("exact", {k for k in each if set(tokens) & set(words[k])}), ("fuzzy", {k for k in each if set(similar[:12]) & set(words[k])}), ("substring", {k for k in each if tokens and q in each[k][:1200]})]
+    stage, found = next(((n, f) for n, f in stages if f), ("none", set()))
+    out = {}
+    for k in found:
+        exact, partial = sum(t in words[k] for t in tokens), sum(t in each[k] for t in tokens)
+        close = sum(any(ratio(t, w) >= 0.84 for w in words[k][:120]) for t in tokens)
+        n = max(len(tokens), 1)
+        score = 1.0 if not q else 4 + min(len(q) / 120, 1) if q in each[k] else 3 + exact / n if exact else 2 + partial / n if partial else 1 + close / n if close else 0.0
+        out[k] = (stage, round(score, 9))
+    return out
+
+
 def test_search(spark):
-    t = spark.createDataFrame([(1, 1, "Warm piano", None), (1, 2, "warm  strings", "piano"), (2, 1, "Cold synth", ""), (3, 1, None, None)], "k int, pos int, caption string, tag string")
-    tracks = S.roll_up(t, "k", "pos", ["caption", "tag"])
+    texts = {1: ["Warm piano", None, "warm  strings", "piano"], 2: ["Cold synth", "", "a long quiet night of synths and pads"], 3: [None, None], 4: ["pianist plays", "warm pian"], 5: ["piano concerto in the park, warm and slow, for a long night"]}
+    asked = ["piano", "pianno", "old syn", "zzz", "", " -- ", "Warm  strings", "long quiet night", "concert in the park", "warn pianoo", "wrm pads", "piano concerto in the park, warm and", "ianis", "pianiste", "a long night piano zz", "qu", "stringss synthss padss warmm pianoo nightt"]
+    t = spark.createDataFrame([(k, n, p) for k, parts in texts.items() for n, p in enumerate(parts)], "k int, pos int, part string")
+    tracks = S.roll_up(t, "k", "pos", ["part"])
     index = S.inverted_index(tracks, "k")
-    q = S.query_tokens(spark.createDataFrame([(1, "piano"), (2, "pianno"), (3, "old syn"), (4, "zzz")], "q int, text string"), "text")
-    assert rows(S.candidates(q, tracks, index, "q", "k"), "q", "k", "stage") == [(1, 1, "exact"), (2, 1, "fuzzy"), (3, 2, "substring")]
+    q = S.query_tokens(spark.createDataFrame(list(enumerate(asked)), "q int, text string"), "text")
+    found = S.candidates(q, tracks, index, "q", "k")
+    stages = {(r["q"], r["k"]): r["stage"] for r in found.collect()}
+    got = {(r["q"], r["k"]): (stages[r["q"], r["k"]], round(r["score"], 9)) for r in S.scores(found, q, tracks, "q", "k").collect()}
+    want = {(n, k): v for n, text in enumerate(asked) for k, v in brute_search(texts, text).items()}
+    assert got == want
+    assert {s for s, _ in got.values()} == {"all", "exact", "fuzzy", "substring"} and {int(x) for _, x in got.values()} == {0, 1, 2, 3, 4}
+
+
+def test_fuzzy_matches_by_brute_force(spark):
+    import difflib
+
+    words = ["pian", "piano", "pianos", "pianist", "pineapple", "pi", "p", "warm", "warmer", "swarm"]
+    tokens = ["piano", "pianno", "warmr", "pi", "wa", "xyz"]
+    got = {}
+    table = lambda v: spark.createDataFrame([(x,) for x in v], "token string")
+    for r in S.fuzzy_matches(table(tokens), table(words)).collect():
+        got.setdefault(r["token"], []).append((r["ratio"], r["word"]))
+    want = {}
+    for t in tokens:
+        near = sorted(((difflib.SequenceMatcher(None, t, w).ratio(), w) for w in words if len(t) >= 3 and w[:2] == t[:2]), reverse=True)
+        near = [x for x in near if x[0] >= 0.82][:3]
+        if near:
+            want[t] = near
+    assert {k: sorted(v, reverse=True) for k, v in got.items()} == want
 
 
 def test_step_flattening_keeps_every_chain(spark, tmp_path):
