@@ -88,12 +88,12 @@ TURNS_SQL = """turns AS (
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
 
 
-
 def turn_tags(c):
+    """The distinct words of a text stand for the tags that conversations don't have."""
     from stepwright.functions.text import simple_tokens
 
-    return F.slice(F.sort_array(F.array_distinct(F.filter(simple_tokens(c), lambda t: F.length(t) == 6))), 1, 8)
+    return F.sort_array(F.array_distinct(simple_tokens(c)))
 
 
 def turn_tags_sql(c: str) -> str:
-    return f"list_sort(list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda t: length(t) = 6)))[1:8]"
+    return f"list_sort(list_distinct(regexp_extract_all(lower({c}), '[a-z0-9]+')))"

@@ -147,14 +147,14 @@ def one_step_per_chain(spark, sf):
     return _strata(spark, sf).groupBy("chain_id").agg(F.min_by("turn", "h").alias("turn"))
 
 
-@query(f"""WITH {_STRATA}, o AS (SELECT *, n > 1 AS sentinel, row_number() OVER (PARTITION BY n > 1 ORDER BY h) - 1 AS i FROM k WHERE turn = 1)
-SELECT chain_id, sentinel, CAST(row_number() OVER (ORDER BY i // 5, {_u('order', 'h')}, chain_id) AS INTEGER) AS place FROM o WHERE i < 50""")
+@query(f"""WITH {_STRATA}, o AS (SELECT *, n > 1 AS sentinel, row_number() OVER (PARTITION BY n > 1 ORDER BY h, chain_id, turn) - 1 AS i FROM k)
+SELECT chain_id, turn, sentinel, row_number() OVER (ORDER BY i // 5, {_u('order', 'h')}, chain_id, turn) AS place FROM o""")
 def session_order(spark, sf):
-    """Batches of ten: five sentinels and five others, shuffled within the batch."""
-    s = _strata(spark, sf).where("turn = 1").withColumn("sentinel", F.col("n") > 1)
-    i = F.row_number().over(Window.partitionBy("sentinel").orderBy("h")) - 1
-    o = s.withColumn("i", i).where("i < 50").withColumns({"batch": F.floor(F.col("i") / 5), "u": S.uniform("order", F.col("h"))})
-    return o.select("chain_id", "sentinel", F.row_number().over(Window.orderBy("batch", "u", "chain_id")).alias("place"))
+    """Batches of ten over all steps: five sentinels and five others, as far as there are both, shuffled within the batch."""
+    s = _strata(spark, sf).withColumn("sentinel", F.col("n") > 1)
+    of = lambda c: K.dense_index(s.where(c), ["h", "chain_id", "turn"], "i")
+    o = of("sentinel").unionByName(of("not sentinel")).withColumns({"batch": F.floor(F.col("i") / 5), "u": S.uniform("order", F.col("h"))})
+    return K.dense_index(o, ["batch", "u", "chain_id", "turn"], "place").select("chain_id", "turn", "sentinel", (F.col("place") + 1).alias("place"))
 
 
 @query(f"SELECT conv_id, turn, CASE WHEN u < 0.4 THEN 'short' WHEN u < 0.7 THEN 'medium' ELSE 'long' END AS verbosity FROM (SELECT conv_id, turn, {_u(7, 'conv_id', 'turn')} AS u FROM conversations)")

@@ -120,11 +120,11 @@ def dense_row_index(spark, sf):
 _U = "CAST('0x' || substr(sha1({}), 1, 13) AS BIGINT) / 4503599627370496.0"
 
 
-def _walk_sql(n: int, seed: int = 13) -> str:
+def _walk_sql(seed: int = 13) -> str:
     u = lambda *k: _U.format(f"'{seed}:' || " + " || ':' || ".join(k))
     key = f"-ln(greatest({u('w.chain_id', 'w.turn + 1', 'e.target')}, 1e-300)) / greatest(e.transition_score, 1e-12)"
     return f"""WITH RECURSIVE {_EDGES_SQL}, seeds AS (SELECT clip_id, row_number() OVER (ORDER BY clip_id) - 1 AS k FROM (SELECT DISTINCT source AS clip_id FROM edges)),
-    ids AS (SELECT range AS chain_id FROM range({n})),
+    ids AS (SELECT row_number() OVER () - 1 AS chain_id FROM clips),
     begun AS (SELECT chain_id, greatest(1, least(6, CAST(round(exp(0.7 + 0.75 * sqrt(-2 * ln(greatest({u("'a'", 'chain_id')}, 1e-300))) * cos(2 * pi() * {u("'b'", 'chain_id')}))) AS INTEGER))) AS length,
               CAST(floor({u("'seed'", 'chain_id')} * (SELECT count(*) FROM seeds)) AS BIGINT) AS k FROM ids),
     ways AS (SELECT e.source, e.target, e.transition_score, c.track_id AS target_track FROM edges e JOIN clips c ON c.clip_id = e.target),
@@ -140,10 +140,11 @@ def _walk_sql(n: int, seed: int = 13) -> str:
     SELECT chain_id, CAST(turn AS INTEGER) AS turn, source, target, round(transition_score, 6) AS transition_score FROM walk WHERE turn > 0"""
 
 
-@query(_walk_sql(400))
+@query(_walk_sql())
 def random_walk_chains(spark, sf):
+    """As many walks as there are clips."""
     clips = B.clips(spark, sf)
-    return G.walks(edges(spark, sf), clips, 400).withColumn("transition_score", F.round("transition_score", 6))
+    return G.walks(edges(spark, sf), clips, clips.count()).withColumn("transition_score", F.round("transition_score", 6))
 
 
 @query()

@@ -92,13 +92,13 @@ def history_refs(spark, sf):
 def _items(spark, sf):
     """Terms of each turn with the evidence to type them by."""
     t = B.turns(spark, sf).where("previous is not null")
-    terms = F.concat(F.array(F.lit("vocals:vocal"), F.lit("warm-pad"), F.lit("speed:slow")), F.slice(F.array_distinct(X.content_tokens(F.col("text"))), 1, 4))
+    terms = F.concat(F.array(F.lit("vocals:vocal"), F.lit("warm-pad"), F.lit("speed:slow")), F.array_distinct(X.content_tokens(F.col("text"))))
     return t.select("chain_id", "turn", F.explode(terms).alias("term"), B.turn_tags(F.col("text")).alias("tags"), F.array("previous").alias("captions"), F.array("seed").alias("lyrics"))
 
 
 _ITEM_HINTS = " ".join(f"WHEN list_has_any(w, [{', '.join(repr(x) for x in words.split())}]) THEN '{k}'" for k, words in D.HINTS)
 _ITEMS_SQL = f"""{B.TURNS_SQL}, tt AS (SELECT *, {_cont('text')} AS ct FROM turns WHERE previous IS NOT NULL),
-i AS (SELECT chain_id, turn, unnest(list_concat(['vocals:vocal', 'warm-pad', 'speed:slow'], list_filter(ct, lambda x, i: list_position(ct, x) = i)[1:4])) AS term, {_TT} AS tags, previous, seed FROM tt),
+i AS (SELECT chain_id, turn, unnest(list_concat(['vocals:vocal', 'warm-pad', 'speed:slow'], list_filter(ct, lambda x, i: list_position(ct, x) = i))) AS term, {_TT} AS tags, previous, seed FROM tt),
 j AS (SELECT *, len(list_filter(tags, lambda x: contains(x, term))) > 0 AS in_tags, string_split(replace(term, '-', ' '), ' ') AS w FROM i),
 k AS (SELECT *, CASE WHEN in_tags THEN 'tag' WHEN previous <> '' AND contains(lower(previous), term) THEN 'caption' WHEN seed <> '' AND contains(lower(seed), term) THEN 'lyrics' WHEN contains(term, ' ') THEN 'caption' ELSE 'semantic' END AS src FROM j),
 items AS (SELECT chain_id, turn, term AS text, CASE WHEN starts_with(term, 'vocals:') OR starts_with(term, 'speed:') THEN 'tag' ELSE src END AS source,
@@ -128,13 +128,13 @@ def instruction_plan(spark, sf):
 
 
 @query(f"""WITH {B.TURNS_SQL} SELECT chain_id, turn, array_to_string(list_filter(e, lambda x, i: list_position(e, x) = i), '|') AS terms FROM (
-SELECT chain_id, turn, list_concat(f, list_filter({_cont('text')}, lambda t: length(t) >= 4)) AS e FROM (SELECT *, {_cont('previous')}[1:3] AS f FROM turns WHERE previous IS NOT NULL))""")
+SELECT chain_id, turn, list_concat(f, list_filter({_cont('text')}, lambda t: length(t) >= 4)) AS e FROM (SELECT *, {_cont('previous')} AS f FROM turns WHERE previous IS NOT NULL))""")
 def evidence_terms(spark, sf):
     t = B.turns(spark, sf).where("previous is not null")
-    return t.select("chain_id", "turn", _J(D.evidence_terms(F.slice(X.content_tokens(F.col("previous")), 1, 3), F.col("text"))).alias("terms"))
+    return t.select("chain_id", "turn", _J(D.evidence_terms(X.content_tokens(F.col("previous")), F.col("text"))).alias("terms"))
 
 
-@query(f"""WITH {B.TURNS_SQL}, s AS (SELECT chain_id, turn, text, lower(text) AS low, {_cont("coalesce(previous, '')")}[1:3] AS ct, turn % 2 = 0 AS meta, turn % 3 = 1 AS capt FROM turns)
+@query(f"""WITH {B.TURNS_SQL}, s AS (SELECT chain_id, turn, text, lower(text) AS low, {_cont("coalesce(previous, '')")} AS ct, turn % 2 = 0 AS meta, turn % 3 = 1 AS capt FROM turns)
 SELECT chain_id, turn, array_to_string(list_filter([CASE WHEN length(trim(text)) < 12 OR NOT regexp_matches(low, 'again|bring back|but|instead|keep|less|like|more|same|still|without') THEN 'format' END,
 CASE WHEN len(ct) > 0 AND len(list_filter(ct, lambda x: contains(low, x))) = 0 THEN 'no_genuine_change' END,
 CASE WHEN capt AND len(ct) > 0 AND len(list_filter(ct, lambda x: contains(low, x))) = 0 THEN 'caption_only_ungrounded' END,
@@ -142,7 +142,7 @@ CASE WHEN NOT meta AND regexp_matches(low, '\\b(artist|band|singer|album|\\d{{4}
 CASE WHEN contains(low, 'as before') THEN 'requires_history' END], lambda x: x IS NOT NULL), '|') AS reasons FROM s""")
 def instruction_precheck(spark, sf):
     t = B.turns(spark, sf)
-    terms = F.slice(X.content_tokens(F.coalesce("previous", F.lit(""))), 1, 3)
+    terms = X.content_tokens(F.coalesce("previous", F.lit("")))
     r = D.precheck(F.col("text"), terms, F.pmod("turn", F.lit(2)) == 0, False, F.pmod("turn", F.lit(3)) == 1, terms, terms)
     return t.select("chain_id", "turn", _J(r).alias("reasons"))
 

@@ -10,9 +10,6 @@ from stepwright.functions import text as X
 from stepwright.queries.registry import query
 
 _J = lambda c: F.array_join(c, "|")
-#: The first line of a text is its caption.
-_CAPTION = lambda: F.split("text", "\n")[0]
-_CAP_SQL = "string_split(text, chr(10))[1]"
 
 
 @query("SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_brand || '  ' || p_name), '[^a-z0-9\\-\\s]', '', 'g'), '\\s+', ' ', 'g')) AS tag FROM part")
@@ -21,33 +18,33 @@ def tag_normalise(spark, sf):
 
 
 @query(f"""SELECT doc_id, c AS caption, trim(regexp_replace(c, '^[.,;:!?"''()\\[\\]{{}}]+|[.,;:!?"''()\\[\\]{{}}]+$', '', 'g'), ' ') AS bare
-FROM (SELECT doc_id, regexp_replace(regexp_replace(lower({_CAP_SQL}), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS c FROM documents)""")
+FROM (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS c FROM documents)""")
 def caption_normalise(spark, sf):
-    return B.table(spark, sf, "documents").select("doc_id", X.normalise_caption(_CAPTION()).alias("caption"), X.normalise_caption(_CAPTION(), True).alias("bare"))
+    return B.table(spark, sf, "documents").select("doc_id", X.normalise_caption(F.col("text")).alias("caption"), X.normalise_caption(F.col("text"), True).alias("bare"))
 
 
-@query("""SELECT doc_id, CAST(len(t) AS INTEGER) AS n, array_to_string(t[1:12], '|') AS first_tokens
+@query("""SELECT doc_id, CAST(len(t) AS INTEGER) AS n, array_to_string(t, '|') AS tokens
 FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+(?:[-''][a-z0-9]+)?') AS t FROM documents)""")
 def tokens(spark, sf):
     t = X.tokens(F.col("text"))
-    return B.table(spark, sf, "documents").select("doc_id", F.size(t).alias("n"), _J(F.slice(t, 1, 12)).alias("first_tokens"))
+    return B.table(spark, sf, "documents").select("doc_id", F.size(t).alias("n"), _J(t).alias("tokens"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
 
 
-@query(f"""SELECT doc_id, CAST(len(t) AS INTEGER) AS n, array_to_string(t[1:12], '|') AS first_tokens
+@query(f"""SELECT doc_id, CAST(len(t) AS INTEGER) AS n, array_to_string(t, '|') AS tokens
 FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+(?:[-''][a-z0-9]+)?'), lambda t: length(t) >= 3 AND NOT list_contains([{_STOP}], t)) AS t FROM documents)""")
 def content_tokens(spark, sf):
     t = X.content_tokens(F.col("text"))
-    return B.table(spark, sf, "documents").select("doc_id", F.size(t).alias("n"), _J(F.slice(t, 1, 12)).alias("first_tokens"))
+    return B.table(spark, sf, "documents").select("doc_id", F.size(t).alias("n"), _J(t).alias("tokens"))
 
 
 @query("""SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9'']+')) AS INTEGER) AS words,
 CAST(len(regexp_extract_all(text, '[0-9A-Za-z][-0-9A-Za-z_''’]*')) AS INTEGER) AS long_words,
-array_to_string(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z0-9'']+'), ' ') AS phrase FROM documents""")
+array_to_string(regexp_extract_all(lower(text), '[a-z0-9'']+'), ' ') AS phrase FROM documents""")
 def word_counts(spark, sf):
-    return B.table(spark, sf, "documents").select("doc_id", X.word_count(F.col("text")).alias("words"), X.word_count(F.col("text"), X.WORD_LONG).alias("long_words"), X.phrase(_CAPTION()).alias("phrase"))
+    return B.table(spark, sf, "documents").select("doc_id", X.word_count(F.col("text")).alias("words"), X.word_count(F.col("text"), X.WORD_LONG).alias("long_words"), X.phrase(F.col("text")).alias("phrase"))
 
 
 _DEDUP = "list_filter({l}, lambda x, i: x <> '' AND list_position({l}, x) = i)"
@@ -55,11 +52,11 @@ _PHRASES_SQL = """list_transform(list_transform(regexp_split_to_array(lower({c})
   lambda p: regexp_replace(regexp_replace(p, '\\s+', ' ', 'g'), '^[ ''"()\\[\\]{{}}]+|[ ''"()\\[\\]{{}}]+$', '', 'g')), lambda p: array_to_string(string_split(p, ' ')[1:8], ' '))"""
 
 
-@query(f"""SELECT doc_id, array_to_string({_DEDUP.format(l='ps')}[1:6], '|') AS phrases, CAST(len({_DEDUP.format(l='ps')}) AS INTEGER) AS n
+@query(f"""SELECT doc_id, array_to_string({_DEDUP.format(l='ps')}, '|') AS phrases, CAST(len({_DEDUP.format(l='ps')}) AS INTEGER) AS n
 FROM (SELECT doc_id, {_PHRASES_SQL.format(c='text')} AS ps FROM documents)""")
 def phrases(spark, sf):
     p = X.phrases(F.col("text"))
-    return B.table(spark, sf, "documents").select("doc_id", _J(F.slice(p, 1, 6)).alias("phrases"), F.size(p).alias("n"))
+    return B.table(spark, sf, "documents").select("doc_id", _J(p).alias("phrases"), F.size(p).alias("n"))
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) <= 120 THEN text ELSE coalesce(nullif(regexp_extract(left(text, 120), '(?s)^(.*) ', 1), ''), left(text, 120)) END AS clipped FROM documents""")
@@ -68,9 +65,9 @@ def clip_text(spark, sf):
 
 
 @query(f"""SELECT doc_id, array_to_string(d, '|') AS distinct_words, array_to_string(d[1:5], '|') AS bounded
-FROM (SELECT doc_id, {_DEDUP.format(l='w')} AS d FROM (SELECT doc_id, string_split({_CAP_SQL}, ' ') AS w FROM documents))""")
+FROM (SELECT doc_id, {_DEDUP.format(l='w')} AS d FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))""")
 def dedupe_lists(spark, sf):
-    w = F.split(_CAPTION(), " ")
+    w = F.split(F.col("text"), " ")
     return B.table(spark, sf, "documents").select("doc_id", _J(X.dedupe(w)).alias("distinct_words"), _J(X.dedupe(w, 5)).alias("bounded"))
 
 
@@ -120,9 +117,9 @@ def time_parsing(spark, sf):
 _GENRE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(line, '{w.replace('&', '[&]')}') THEN '{g}'" for g, w in L.GENRES) + " ELSE 'Other' END"
 
 
-@query(f"SELECT doc_id, {_GENRE_SQL} AS genre FROM (SELECT doc_id, array_to_string(string_split(lower({_CAP_SQL}), ' '), '|') AS line FROM documents)")
+@query(f"SELECT doc_id, {_GENRE_SQL} AS genre FROM (SELECT doc_id, array_to_string(string_split(lower(text), ' '), '|') AS line FROM documents)")
 def genre_map(spark, sf):
-    return B.table(spark, sf, "documents").select("doc_id", L.genre(F.split(F.lower(_CAPTION()), " ")).alias("genre"))
+    return B.table(spark, sf, "documents").select("doc_id", L.genre(F.split(F.lower(F.col("text")), " ")).alias("genre"))
 
 
 @query("""SELECT p_partkey, CASE WHEN contains(lower(p_type), 'eco') THEN 'x' ELSE 'y' END AS probe,
@@ -229,8 +226,8 @@ def axis_usage(spark, sf):
 
 @query(f"""SELECT doc_id, coalesce(m, '') AS longest, coalesce(s[1], '') AS first, coalesce(nullif(trim(CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE lang END), ''), source) AS fallback,
 lang || ' ' || source AS both FROM (SELECT doc_id, lang, source, s, list_filter(s, lambda x: length(x) = list_max(list_transform(s, lambda y: length(y))))[1] AS m
-FROM (SELECT doc_id, lang, source, list_filter(list_transform(string_split({_CAP_SQL}, ', '), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents))""")
+FROM (SELECT doc_id, lang, source, list_filter(list_transform(string_split(text, ', '), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents))""")
 def primary_strings(spark, sf):
-    s = X.split_on(_CAPTION(), ", ")
+    s = X.split_on(F.col("text"), ", ")
     blank = F.when(F.pmod("doc_id", F.lit(3)) == 0, "  ").otherwise(F.col("lang"))
     return B.table(spark, sf, "documents").select("doc_id", X.primary(s).alias("longest"), X.primary(s, "first").alias("first"), X.first_non_empty(blank, F.col("source")).alias("fallback"), X.combined(F.col("lang"), F.col("source")).alias("both"))
