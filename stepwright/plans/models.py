@@ -24,6 +24,20 @@ class Embedder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
 
+class AudioModel(Protocol):
+    """A captioner or transcriber: bytes of audio files in, texts out."""
+
+    def open(self) -> None: ...
+
+    def listen(self, audio: list[bytes]) -> list[str]: ...
+
+
+class AudioEmbedder(Protocol):
+    def open(self) -> None: ...
+
+    def encode_audio(self, audio: list[bytes]) -> np.ndarray: ...
+
+
 class Generator(Protocol):
     def open(self) -> None: ...
 
@@ -89,56 +103,79 @@ def bisected(call, items: list, width: int) -> Iterator[tuple[object, str | None
                     yield None, f"{type(e).__name__}: {e}"[:500]
 
 
-def embedded(df: DataFrame, text: str, model: Embedder, batch: int = 64, truncate: int | None = None) -> DataFrame:
-    """df without text, with vector (unit length, the first `truncate` values if given) and error."""
-    place, names = df.columns.index(text), df.columns
-    keep = [c for c in df.columns if c != text]
+def _called(df: DataFrame, column: str, model, call, results: list[tuple[str, str, pa.DataType]], batch: int, finish=lambda x: x) -> DataFrame:
+    """df without column, with the model's result for it and error."""
+    place, names = df.columns.index(column), df.columns
+    keep = [c for c in df.columns if c != column]
+    (name, kind, arrow), *_ = results
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.open()
         for b in batches:
-            vectors, errors = [], []
-            for v, e in bisected(lambda x: list(model.encode(x)), [t or "" for t in b.column(place).to_pylist()], batch):
-                if v is not None:
-                    v = np.asarray(v[:truncate], np.float64)
-                    v = (v / max(float(np.linalg.norm(v)), 1e-12)).astype(np.float32).tolist()
-                vectors.append(v)
-                errors.append(e)
-            columns = [b.column(k) for k, c in enumerate(names) if c != text]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())], names=[*keep, "vector", "error"])
+            got = list(bisected(call, b.column(place).to_pylist(), batch))
+            columns = [b.column(k) for k, c in enumerate(names) if c != column]
+            made = [None if v is None else finish(v) for v, _ in got]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(made, arrow), pa.array([e for _, e in got], pa.string())], names=[*keep, name, "error"])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.mapInArrow(run, f"{kinds}, vector array<float>, error string")
+    return df.mapInArrow(run, f"{kinds}, `{name}` {kind}, error string")
+
+
+def _unit(truncate: int | None):
+    def unit(v) -> list[float]:
+        v = np.asarray(v[:truncate], np.float64)
+        return (v / max(float(np.linalg.norm(v)), 1e-12)).astype(np.float32).tolist()
+
+    return unit
+
+
+def embedded(df: DataFrame, text: str, model: Embedder, batch: int = 64, truncate: int | None = None) -> DataFrame:
+    """df without text, with vector (unit length, the first `truncate` values if given) and error."""
+    call = lambda x: list(model.encode([t or "" for t in x]))
+    return _called(df, text, model, call, [("vector", "array<float>", pa.list_(pa.float32()))], batch, _unit(truncate))
+
+
+def embedded_audio(df: DataFrame, audio: str, model: AudioEmbedder, batch: int = 8, truncate: int | None = None) -> DataFrame:
+    """df without audio (bytes of a file), with vector (unit length) and error; a null audio is an error of its own row."""
+    call = lambda x: list(model.encode_audio(x))
+    return _called(df, audio, model, call, [("vector", "array<float>", pa.list_(pa.float32()))], batch, _unit(truncate))
+
+
+def heard(df: DataFrame, audio: str, model: AudioModel, name: str, batch: int = 4) -> DataFrame:
+    """df without audio (bytes of a file), with the model's text (a caption, a transcript) under `name`, and error."""
+    return _called(df, audio, model, lambda x: model.listen(x), [(name, "string", pa.string())], batch)
 
 
 def generated(df: DataFrame, prompt: str, model: Generator, name: str, batch: int = 16) -> DataFrame:
     """df without prompt, with the model's answer under `name`, and error."""
-    place, names = df.columns.index(prompt), df.columns
-    keep = [c for c in df.columns if c != prompt]
+    return _called(df, prompt, model, lambda x: model.answer(x), [(name, "string", pa.string())], batch)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model.open()
-        for b in batches:
-            got = list(bisected(model.answer, b.column(place).to_pylist(), batch))
-            columns = [b.column(k) for k, c in enumerate(names) if c != prompt]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([g for g, _ in got], pa.string()), pa.array([e for _, e in got], pa.string())], names=[*keep, name, "error"])
-
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.mapInArrow(run, f"{kinds}, `{name}` string, error string")
 
+def parameters_b(model_name: str) -> float | None:
+    """Billions of parameters that a model's name states, the largest of several (all weights are loaded); None if none."""
+    return max((float(x) for x in re.findall(r"(?<![a-z0-9])(\d+(?:\.\d+)?) *b(?![a-z])", model_name.lower())), default=None)
 
-def parameters_b(model_name: str) -> float:
-    """Billions of parameters that a model's name states, the largest of several; 0 if none."""
-    return max((float(x) for x in re.findall(r"([0-9]+[.]?[0-9]*) *b(?![a-z])", model_name.lower())), default=0.0)
 
+def backend(model_name: str, gpu_gb: list[float], gpu_names: tuple[str, ...] = (), parameters: float | None = None, allow_sglang: bool = False) -> dict:
+    """Which backend serves a model on these GPUs, why, with which tensor parallel size and quantisation.
 
-def backend(model_name: str, gpu_gb: list[float], bytes_each: float = 2.0) -> str:
-    """single, tensor_parallel, quantised or remote: the first that the model's weights fit, with room for its state."""
-    need = parameters_b(model_name) * bytes_each
-    if gpu_gb and need * 1.25 <= max(gpu_gb):
-        return "single"
-    if len(gpu_gb) > 1 and need * 1.35 <= sum(gpu_gb):
-        return "tensor_parallel"
-    if gpu_gb and need / 4 * 1.25 <= max(gpu_gb):
-        return "quantised"
-    return "remote"
+    16-bit weights must fit the smallest GPU with a quarter of room, or all together with a third; else newer GPUs take
+    8-bit weights, and what is left is served in 4 bits.
+    """
+    out = {"backend": "transformers", "reason": "no_visible_cuda_device", "tensor_parallel_size": 1, "quantization": None, "kv_cache_dtype": "auto"}
+    if not gpu_gb:
+        return out
+    size = parameters if parameters is not None else parameters_b(model_name)
+    if size is None:
+        return out | {"backend": "vllm", "reason": "cuda_available_model_size_unknown"}
+    need, least, names = 2.0 * size, min(gpu_gb), " ".join(gpu_names).lower()
+    if least >= 1.25 * need:
+        return out | {"backend": "vllm", "reason": "bf16_fits_single_gpu"}
+    if len(gpu_gb) > 1 and sum(gpu_gb) >= 1.35 * need:
+        return out | {"backend": "vllm", "reason": "bf16_fits_tensor_parallel", "tensor_parallel_size": len(gpu_gb)}
+    if any(n in names for n in ("b100", "b200", "h100", "h200")):
+        return out | {"backend": "vllm", "reason": "hopper_or_newer_fp8_fallback", "quantization": "fp8", "kv_cache_dtype": "fp8", "tensor_parallel_size": min(len(gpu_gb), 2)}
+    if allow_sglang and any(n in model_name.lower() for n in ("moe", "qwen")):
+        return out | {"backend": "sglang_local", "reason": "sglang_enabled_for_qwen_or_moe"}
+    small = "a100" in names or least <= 48
+    return out | {"backend": "transformers_bnb", "reason": "single_or_low_memory_ampere_nf4_fallback" if small else "conservative_nf4_fallback", "quantization": "nf4"}

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepwright import config as C
@@ -165,8 +165,32 @@ def gate(t: Tables, c: C.Gate) -> Tables:
     return {"graded": graded, "selected": G.select(graded, c.contextual)}
 
 
-@stage("candidates", "pool summary", "pool")
+def pool_steps(steps: DataFrame, clips: DataFrame, most_references: int = 2) -> DataFrame:
+    """The chains' steps (chain_id, turn, source, target) as P.scored() and P.candidate_sources() want them.
+
+    step is the chain and the turn; seed is the source of a chain's first turn, prior its targets so far; references are
+    the earlier targets with most in common; terms are the constraints of the step's change of tags, vocals and speed.
+    """
+    w = Window.partitionBy("chain_id").orderBy("turn")
+    key = F.struct("chain_id", "turn").alias("step")
+    c = clips.select("clip_id", F.struct("tags", "vocals", "speed", F.array_distinct(X.content_tokens(X.combined(F.col("caption"), F.col("lyrics")))).alias("terms")).alias("c"))
+    s = steps.select("chain_id", "turn", "source", "target", F.first("source").over(w).alias("seed"), F.collect_list("target").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("prior"))
+    s = s.join(c.select(F.col("clip_id").alias("source"), F.col("c").alias("s")), "source").join(c.select(F.col("clip_id").alias("target"), F.col("c").alias("t")), "target")
+    h = D.history_references(s.select("chain_id", "turn", "t.tags", "t.terms"), most_references).groupBy("chain_id", "turn").agg(F.sort_array(F.collect_list(F.struct("place", "prior_turn"))).alias("h"))
+    b = D.buckets(F.col("s.tags"), F.col("t.tags"), F.col("s.vocals"), F.col("t.vocals"), F.col("s.speed"), F.col("t.speed"))
+    s = s.join(h, ["chain_id", "turn"], "left")
+    # The target of turn k is the k-th of the earlier targets.
+    references = F.coalesce(F.transform("h", lambda x: F.element_at("prior", x["prior_turn"].cast("int"))), F.filter("prior", lambda x: F.lit(False)))
+    return s.select(key, "source", "target", "seed", "prior", references.alias("references"), F.struct(b["added"].alias("new"), b["lost"].alias("lost"), b["persistent"].alias("kept")).alias("terms"))
+
+
+@stage("steps edges clips", "pool summary reasons", "pool")
 def relevance_pool(t: Tables, c: C.Pool) -> Tables:
-    """Typed and scored candidates to each step's pool and its counts."""
-    pool = P.select_pool(t["candidates"], c.candidates)
-    return {"pool": pool, "summary": P.summarise(pool)}
+    """steps, the neighbourhoods' edges and clips (with caption, lyrics, vocals and speed) to each step's pool, its counts and the reasons of all its candidates."""
+    steps = pool_steps(t["steps"], t["clips"])
+    candidates = P.merge_candidates(P.candidate_sources(steps, t["edges"]), c.candidates)
+    rows = P.scored(candidates, steps, P.prepared(t["clips"]))
+    rows = rows.select("step", "clip", "ordinal", "labels", "pool_type", "grade", "failure_category", "failed", "satisfied", "final", "alignment", "to_target", "to_source", "split", "is_target")
+    pool = P.select_pool(rows, c.candidates)
+    reasons = rows.select("step", "clip", P.reason_code(F.col("pool_type"), F.col("failure_category")).alias("reason_code"), "grade")
+    return {"pool": pool, "summary": P.summarise(pool), "reasons": reasons}

@@ -176,13 +176,13 @@ _FOCUS = [a for a in L.AXES if a != "other"]
 
 
 @query(f"""WITH counts AS (SELECT a AS axis, count(d.doc_id) AS n FROM (SELECT unnest([{', '.join(repr(a) for a in _FOCUS)}]) AS a, unnest(range({len(_FOCUS)})) AS i) LEFT JOIN documents d ON d.doc_id % 13 = i GROUP BY a)
-SELECT conv_id, turn, arg_min(axis, (k, axis)) AS axis FROM (SELECT conv_id, turn, axis, -ln(greatest({_u(3, 'conv_id', 'turn', 'axis')}, 1e-300)) / greatest(1.0 / (n + 1), 1e-12) AS k FROM conversations, counts) GROUP BY conv_id, turn""")
+SELECT conv_id, turn, arg_min(axis, (k, axis)) AS axis FROM (SELECT conv_id, turn, axis, -ln(greatest({_u(3, 'conv_id', 'turn', 'axis')}, 1e-300)) / greatest(CASE WHEN axis = 'genre_style' THEN 0.2 ELSE 1.0 END / (n + 1), 1e-12) AS k FROM conversations, counts) GROUP BY conv_id, turn""")
 def axis_sample(spark, sf):
-    """One axis for each turn, drawn in inverse proportion to how often the axis was used."""
+    """One axis for each turn, drawn in inverse proportion to how often the axis was used, genre_style at a fifth of that."""
     used = B.table(spark, sf, "documents").select(F.pmod("doc_id", F.lit(13)).cast("int").alias("i")).groupBy("i").agg(F.count("*").alias("n"))
     axes = spark.createDataFrame(list(enumerate(_FOCUS)), "i int, axis string").join(used, "i", "left").fillna(0, ["n"]).select("axis", "n")
     t = B.table(spark, sf, "conversations").select("conv_id", "turn").crossJoin(F.broadcast(axes))
-    key = S.exponential_key(S.uniform(3, F.col("conv_id"), F.col("turn"), F.col("axis")), 1 / (F.col("n") + 1))
+    key = S.exponential_key(S.uniform(3, F.col("conv_id"), F.col("turn"), F.col("axis")), F.when(F.col("axis") == "genre_style", 0.2).otherwise(1.0) / (F.col("n") + 1))
     return t.groupBy("conv_id", "turn").agg(F.min_by("axis", F.struct(key, "axis")).alias("axis"))
 
 

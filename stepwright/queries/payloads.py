@@ -111,6 +111,14 @@ def typed_semantic_items(spark, sf):
     return i.select("chain_id", "turn", "i.text", "i.source", "i.kind")
 
 
+@query(f"""WITH {_ITEMS_SQL}, o AS (SELECT chain_id, turn, source, text FROM items)
+SELECT chain_id, turn, coalesce(string_agg(DISTINCT text, '|' ORDER BY text) FILTER (source = 'tag'), '') AS tag_texts, coalesce(string_agg(DISTINCT text, '|' ORDER BY text) FILTER (source = 'caption'), '') AS caption_texts FROM o GROUP BY ALL""")
+def typed_item_texts(spark, sf):
+    i = _items(spark, sf).select("chain_id", "turn", D.semantic_item(F.col("term"), F.col("tags"), F.col("captions"), F.col("lyrics")).alias("i"))
+    g = i.groupBy("chain_id", "turn").agg(F.collect_list("i").alias("items"))
+    return g.select("chain_id", "turn", *(_J(F.sort_array(D.typed_texts(F.col("items"), s))).alias(f"{s}_texts") for s in ("tag", "caption")))
+
+
 _AXIS_SQL = "CASE WHEN source = 'lyrics' THEN 'lyrics_theme' " + " ".join(f"WHEN kind = '{k}' THEN '{a}'" for k, a in D.AXIS_OF_KIND.items()) + " ELSE 'other' END"
 
 

@@ -88,6 +88,19 @@ def json_object_extract(spark, sf):
     return B.table(spark, sf, "events").select("event_id", X.extract_json_object(raw).alias("object"))
 
 
+@query("""SELECT o_orderkey, try_cast(o_totalprice AS DOUBLE) AS ms, round(o_totalprice / 1000, 3) AS seconds FROM orders""")
+def track_seconds(spark, sf):
+    return B.table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("ms"), L.seconds(F.col("o_totalprice")).alias("seconds"))
+
+
+@query("""WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS w, p_type FROM part)
+SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform(CASE WHEN p_partkey % 3 = 0 THEN string_split(p_type || ', ,a', ',') ELSE w END, lambda x: trim(x)), lambda x: x <> ''))), '|') AS tags FROM p""")
+def tag_sets(spark, sf):
+    """Tags from a JSON list, or from a comma-separated column where that is empty or no JSON."""
+    listed = F.when(F.col("p_partkey") % 3 == 0, F.when(F.col("p_partkey") % 2 == 0, "[]").otherwise("no list")).otherwise(F.to_json(F.split("p_name", " ")))
+    return B.table(spark, sf, "part").select("p_partkey", _J(X.tag_set(listed, F.concat("p_type", F.lit(", ,a")))).alias("tags"))
+
+
 @query("""SELECT l_orderkey, l_linenumber, l_extendedprice, l_discount, regexp_replace(printf('%.3f', l_quantity + l_tax), '\\.?0+$', '') AS start_key,
 l_orderkey || '::' || regexp_replace(printf('%.3f', l_quantity), '\\.?0+$', '') || '-' || regexp_replace(printf('%.3f', l_quantity + l_tax), '\\.?0+$', '') || '::' || l_linenumber AS clip_id FROM lineitem""")
 def clip_ids(spark, sf):
