@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import json
+import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,3 +67,34 @@ def sidecar(assignments: DataFrame, steps: DataFrame, manifest: DataFrame, keys:
     others = [c for c in s.columns if c not in keys]
     nested = s.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*others))).alias("steps"))
     return assignments.join(nested, keys, "left")
+
+
+def write_npy(df: DataFrame, folder: str, name: str, vector: str) -> DataFrame:
+    """Write each row's vector (32-bit floats) to folder/<name>.npy; one row of name, path and error for each.
+
+    A file is written under a name of its own and moved in place, so that it is whole whenever it is there, and a task
+    that is run again writes the same. folder must be in the shared file system. Null names or vectors are errors.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = pyarrow.fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        for b in batches:
+            paths, errors = [], []
+            for key, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if not key or v is None:
+                    paths.append(None)
+                    errors.append("no name" if not key else "no vector")
+                    continue
+                out = io.BytesIO()
+                np.save(out, np.asarray(v, np.float32), allow_pickle=False)
+                at = f"{root}/{key}.npy"
+                part = f"{at}.{uuid.uuid4().hex}.part"
+                with system.open_output_stream(part) as f:
+                    f.write(out.getvalue())
+                system.move(part, at)
+                paths.append(f"{folder.rstrip('/')}/{key}.npy")
+                errors.append(None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(paths, pa.string()), pa.array(errors, pa.string())], names=["name", "path", "error"])
+
+    return df.select(F.col(name).cast("string").alias("name"), F.col(vector).cast("array<float>").alias("vector")).mapInArrow(run, "name string, path string, error string")

@@ -104,3 +104,45 @@ def test_models_retry_row_by_row(spark):
 def test_backend_rule():
     assert M.parameters_b("some-27B-it-fp8") == 27 and M.parameters_b("none") is None
     assert M.backend("x-7b", [24.0])["reason"] == "bf16_fits_single_gpu" and M.backend("x-70b", [])["backend"] == "transformers"
+
+
+def test_write_npy(spark, tmp_path):
+    from stepwright.sources.readers import read_npy
+    from stepwright.sources.writers import write_npy
+
+    df = spark.createDataFrame([("a", [1.0, 2.5]), ("b", []), (None, [1.0]), ("c", None), ("a", [1.0, 2.5])], "k string, v array<double>")
+    done = write_npy(df, f"file://{tmp_path}/vectors", "k", "v").collect()
+    assert sorted((r["name"] or "", r["error"] or "") for r in done) == [("", "no name"), ("a", ""), ("a", ""), ("b", ""), ("c", "no vector")]
+    assert sorted(p.name for p in (tmp_path / "vectors").iterdir()) == ["a.npy", "b.npy"]
+    got = {r["path"].rsplit("/", 1)[1]: r["vector"] for r in read_npy(spark, f"{tmp_path}/vectors").collect()}
+    assert got == {"a.npy": [1.0, 2.5], "b.npy": []}
+
+
+def test_listing_and_download(tmp_path):
+    from stepwright.sources import listing
+
+    answers = {"u/1": ({"link": '<u/2>; rel="next", <u/9>; rel="last"'}, [b"a", b"b"]), "u/2": ({"Link": "<u/1>; rel=next"}, [b"c"]), "u/f.jsonl": ({}, [b"x\n", b"y\n"])}
+    asked = []
+
+    def fetch(url):
+        asked.append(url)
+        headers, chunks = answers[url]
+        return headers, iter(chunks)
+
+    assert list(listing.pages("u/1", fetch)) == [b"ab", b"c"] and asked == ["u/1", "u/2"]
+    at = str(tmp_path / "f.jsonl")
+    assert listing.download("u/f.jsonl", at, fetch=fetch) and open(at, "rb").read() == b"x\ny\n"
+    assert not listing.download("u/f.jsonl", at, fetch=fetch) and asked.count("u/f.jsonl") == 1
+    with pytest.raises(ValueError):
+        listing.download("u/f.jsonl", str(tmp_path / "f.csv"), fetch=fetch)
+
+    def broken(url):
+        def chunks():
+            yield b"x"
+            raise OSError("lost")
+
+        return {}, chunks()
+
+    with pytest.raises(OSError):
+        listing.download("u/g.jsonl", str(tmp_path / "g.jsonl"), fetch=broken)
+    assert not (tmp_path / "g.jsonl").exists()
