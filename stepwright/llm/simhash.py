@@ -1,31 +1,30 @@
-"""Operator 6. Near-duplicates by SimHash with pivot distance tables.
+"""Operator 6. Near-duplicates by SimHash: all pairs of fingerprints within a radius, with pivots for families.
 
 A document's 128-bit fingerprint is the bitwise majority over the hashes of its
 distinct normalised words. Documents with equal fingerprints are one point.
-Points that agree in any of several blocks of permuted bits are compared, tile
-by tile. The reference fingerprints (pivots) of a block are points of its own,
-one of each family of linked points: the Hamming distances of all points to
-them are tabulated, a tile of a family is compared with those points only that
-differ from it by no more than RADIUS in every coordinate (triangle inequality,
-so never wrongly), and the survivors' distance is computed. Links within RADIUS
-join documents into groups; the smallest id of a group is the one that stays.
-
-A distance is two XORs and two bit counts, and distances of unrelated points to
-any fixed fingerprint differ by less than RADIUS (they are 64 +- 6 of 128 bits),
-so coordinates can't discard pairs of single points for less than their
-distance costs; those of a whole tile and a whole family they do. The number of
-block tables follows from the radius, the block width and RECALL (planned()):
-with more documents blocks get wider and tables more, at the same recall. Within
-a block all pairs count, but those of two points that are linked already; only the
-links of a spanning forest are passed on, which leaves the groups unchanged. A
-block of more than CELL points is cut into cells, each pair of which is a task
-of its own.
+Points within RADIUS of each other are linked, none is missed; links join
+documents into groups; the smallest id of a group is the one that stays.
+
+Points are cut into cells by hash; each pair of cells is a task, in three steps.
+Neighbours in several orders of permuted bits are linked, which finds most of
+each group (planned() and RECALL set how many orders; this step saves time and
+decides nothing). Large families of linked points are then compared tile by tile
+with the points that are not linked to them: one point of the family is its
+pivot, and a point whose distance to the pivot differs by more than RADIUS from
+that of the whole tile is near none of it (triangle inequality). The rest is
+joined by an index: of k disjoint blocks of bits, two points within RADIUS differ
+by few bits in one at least (pigeonhole, probes()), so each point looks up the
+keys near its own in each block, and the distances of what it meets are computed.
+A distance is two XORs and two bit counts.
+
+Of the links only a spanning forest is passed on, which leaves the groups unchanged.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +37,7 @@ from stepwright.llm.common import give_back, hash_strings, map_batches, mix64, r
 
 BITS = 128
 RADIUS = 18
+#: Pairs at the radius that share a block of the first step; all others are found by the next steps.
 RECALL = 0.93
 #: Characters that are cut from the ends of words.
 EDGES = ".,;:!?\"'()[]{}<>#$%&*-_/|=+~^`"
@@ -47,10 +47,16 @@ BLOCK_POINTS = 2048
 #: Points that are compared with others at once, and the others of one step.
 TILE = 256
 ACROSS = 8192
-#: Linked points from which a family has a pivot and tiles of its own.
+#: Linked points from which a family has a pivot and tiles of its own; the square root of a task's points if that is more.
 FAMILY = 32
-#: Points that one task compares with each other at most; blocks with more are cut into cells, of half as many each.
-CELL = 262_144
+#: Points that one task compares with each other; tables with more are cut into cells, of half as many each. Large tables have larger tasks, up to MOST points.
+CELL = 65_536
+MOST = 2_097_152
+#: Bits of an index's block at most, pairs that the index looks at in one step, and links that are held before they are joined.
+WIDEST = 22
+PAIRS = 1 << 18
+#: Times of a lookup, of a pair that it meets, and of an index's calls, as multiples of the time of a pair of two tiles.
+LOOKUP, MET, CALLS = 7, 9, 5_000_000
 SEED = 20_240_229
 
 
@@ -106,7 +112,7 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def planned(points: int, radius: int = RADIUS, recall: float = RECALL) -> tuple[int, int]:
-    """(block width, tables): blocks hold BLOCK_POINTS unrelated points on average at most; a pair at the radius is met with at least this recall."""
+    """(block width, tables) of the first step: blocks hold BLOCK_POINTS unrelated points on average at most; a pair at the radius shares one with at least this recall."""
     width = max(LEAST_WIDTH, math.ceil(math.log2(max(points, 2) / BLOCK_POINTS)))
     blocks = BITS // width
     total = math.comb(BITS, radius)
@@ -181,61 +187,149 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def linked(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) among the points of a block: a spanning forest of its near pairs.
+def neighbours(points: np.ndarray, radius: int) -> np.ndarray:
+    """forest() of the links between points that are next to each other in one of planned()'s orders."""
+    n = len(points)
+    width, tables = planned(n, radius)
+    keys = _keys(points, width, tables)
+    found = []
+    for table in range(tables):
+        order = np.lexsort((points[:, 0], keys[:, table]))
+        one, two = points[order[:-1]], points[order[1:]]
+        close = np.flatnonzero(np.bitwise_count(one ^ two).sum(1) <= radius)
+        found.append((order[close], order[close + 1]))
+    return forest(n, np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
+
+
+def _keys(points: np.ndarray, width: int, tables: int) -> np.ndarray:
+    return np.concatenate([blocks_of(np.ascontiguousarray(points[lo : lo + 65_536]).view(np.uint8).reshape(-1, BITS // 8), width, tables) for lo in range(0, max(len(points), 1), 65_536)])
+
 
-    Tile after tile is compared with all points that have not been in a tile; a tile of a family only with those that
-    are not linked to it. So two points of a component may go uncompared, never two of different ones.
+def probes(blocks: int, radius: int) -> list[int]:
+    """For each of disjoint blocks a number of bits: two points within the radius differ by no more in one block at least.
+
+    If they differed by more in each, they would differ by the sum of these numbers and one for each block, which is radius + 1.
+    """
+    return [(radius + 1) // blocks - 1 + (k < (radius + 1) % blocks) for k in range(blocks)]
+
+
+def indexed(query: int, base: int, radius: int) -> int:
+    """Blocks of the index that takes least time for so many points; 0 if tiles take less."""
+
+    def time(blocks: int) -> float:
+        width = BITS // blocks
+        return sum(sum(math.comb(width, j) for j in range(reach + 1)) for reach in probes(blocks, radius)) * query * (LOOKUP + MET * base / (1 << width))
+
+    best = min((k for k in range(1, radius + 2) if BITS // k <= WIDEST), key=time, default=0)
+    return best if best and time(best) + CALLS < query * base else 0
+
+
+def joined(query: np.ndarray, base: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of query, rows of base) of all pairs within the radius, in parts; a pair may come more than once."""
+    blocks = indexed(len(query), len(base), radius)
+    if not blocks:
+        for at in range(0, len(query), TILE):
+            for lo in range(0, len(base), ACROSS):
+                a, b = near(query[at : at + TILE], base[lo : lo + ACROSS], radius)
+                yield at + a, lo + b
+        return
+    width = BITS // blocks
+    size = 1 << width
+    keys_q, keys_b = (_keys(x, width, blocks) & (size - 1) for x in (query, base))
+    for block, reach in enumerate(probes(blocks, radius)):
+        # Both sides in order of their keys, so that what is looked up lies together.
+        order_q, order_b = (np.argsort(k[:, block], kind="stable") for k in (keys_q, keys_b))
+        q, b = query[order_q], base[order_b]
+        key = keys_q[order_q, block]
+        start = np.zeros(size + 1, np.int64)
+        np.cumsum(np.bincount(keys_b[:, block], minlength=size), out=start[1:])
+        for bits in (c for j in range(reach + 1) for c in combinations(range(width), j)):
+            other = key ^ sum(1 << x for x in bits)
+            first = start[other]
+            count = start[other + 1] - first
+            row = np.flatnonzero(count)
+            first, count = first[row], count[row]
+            end = np.cumsum(count)
+            lo = 0
+            while lo < len(row):
+                before = end[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(end, before + PAIRS, side="right")))
+                n = count[lo:hi]
+                qi = np.repeat(row[lo:hi], n)
+                bi = np.arange(end[hi - 1] - before) + np.repeat(first[lo:hi] - (end[lo:hi] - n - before), n)
+                d = np.bitwise_count(q[qi, 0] ^ b[bi, 0])
+                some = np.flatnonzero(d <= radius)
+                qi, bi = qi[some], bi[some]
+                close = d[some] + np.bitwise_count(q[qi, 1] ^ b[bi, 1]) <= radius
+                if close.any():
+                    yield order_q[qi[close]], order_b[bi[close]]
+                lo = hi
+
+
+def linked(points: np.ndarray, radius: int, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) among the points of a task: a spanning forest of all near pairs.
+
+    With second (whether a point is of the second cell), pairs of two points of one cell are left to other tasks.
     """
     n = len(points)
-    root, todo = np.arange(n), np.arange(n)
-    table: dict[int, np.ndarray] = {}
-    while len(todo) > 1:
-        family = root[todo] == root[todo[0]]
-        found = []
-        if family.sum() >= FAMILY:
-            tile, others = todo[family][:TILE], todo[~family]
-            if not len(others):
-                break
-            todo = todo[~family] if family.sum() <= TILE else todo[~np.isin(todo, tile)]
-            own = next((p for p in table if root[p] == root[tile[0]]), None)
-            if own is None:
-                own = int(tile[0])
-                table[own] = distances(points, own)
-            others = possible([table[own], *(c for p, c in table.items() if p != own)], tile, others, radius)
-        else:
-            tile, todo = todo[:TILE], todo[TILE:]
-            others = todo
-            a, b = near(points[tile], points[tile], radius)
-            found.append((tile[a[a > b]], tile[b[a > b]]))
-        for lo in range(0, len(others), ACROSS):
-            part = others[lo : lo + ACROSS]
-            a, b = near(points[tile], points[part], radius)
-            if len(b):
-                # A column's first row links it; its other rows are linked with that row, each pair of rows once.
-                first = np.full(len(part), TILE)
-                np.minimum.at(first, b, a)
-                hit = np.flatnonzero(first < TILE)
-                rows = np.unique(a * TILE + first[b])
-                found += [(part[hit], tile[first[hit]]), (tile[rows // TILE], tile[rows % TILE])]
-        if any(len(x) for x, _ in found):
+    if n < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    root = neighbours(points, radius)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def join() -> None:
+        nonlocal root, found, held
+        if found:
             root = forest(n, root[np.concatenate([x for x, _ in found])], root[np.concatenate([y for _, y in found])])[root]
+        found, held = [], 0
+
+    # Tile after tile of a family is compared with all points that have not been in a tile and are not linked to it. So
+    # two points of a component may go uncompared, never two of different ones.
+    open_ = np.ones(n, bool)
+    pivot, column = -1, np.zeros(0, np.uint8)
+    while True:
+        size = np.bincount(root[open_], minlength=n)
+        top = int(size.argmax())
+        if size[top] < max(FAMILY, math.isqrt(n)):
+            break
+        own = root == top
+        tile, others = np.flatnonzero(own & open_)[:TILE], np.flatnonzero(~own & open_)
+        if pivot < 0 or not own[pivot]:
+            pivot = int(tile[0])
+            column = distances(points, pivot)
+        open_[tile] = False
+        others = possible([column], tile, others, radius)
+        for lo in range(0, len(others), ACROSS):
+            a, b = near(points[tile], points[others[lo : lo + ACROSS]], radius)
+            if len(a):
+                found.append((tile[a], others[lo + b]))
+        join()
+    rest = np.flatnonzero(open_)
+    query, base = (rest, rest) if second is None else (rest[~second[rest]], rest[second[rest]])
+    if len(query) and len(base):
+        for a, b in joined(points[query], points[base], radius):
+            a, b = query[a], base[b]
+            apart = root[a] != root[b]
+            if apart.any():
+                found.append((a[apart], b[apart]))
+                held += len(a)
+                if held > PAIRS:
+                    join()
+        join()
     far = np.flatnonzero(root != np.arange(n))
     return far, root[far]
 
 
-def links(points: DataFrame, n_points: int, radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
-    """Links (a, b), a > b, among distinct points (node, hi, lo): a spanning forest of each block's near pairs."""
-    width, tables = planned(n_points, radius, recall)
+def cells_of(n_points: int) -> int:
+    """Cells, of half a task's points each; 1 if one task compares all points."""
+    task = max(CELL, min(n_points // 8, MOST))
+    return 1 if n_points <= task else math.ceil(2 * n_points / task)
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
-                halves = np.stack([np.asarray(part.column(1)), np.asarray(part.column(2))], axis=1)
-                keys = blocks_of(np.ascontiguousarray(halves).view(np.uint8).reshape(-1, BITS // 8), width, tables)
-                row = np.repeat(np.arange(part.num_rows), tables)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(pa.array(row)), pa.array(halves[row, 0]), pa.array(halves[row, 1])], names=["key", "node", "hi", "lo"])
+
+def links(points: DataFrame, n_points: int, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b), a > b, among distinct points (node, hi, lo): a spanning forest of the near pairs of each pair of cells, so all pairs count."""
+    cells = cells_of(n_points)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -243,21 +337,17 @@ def links(points: DataFrame, n_points: int, radius: int = RADIUS, recall: float
         def solve() -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(held)
             points = np.stack([rows.column("hi").to_numpy(), rows.column("lo").to_numpy()], axis=1).view(np.uint64)
-            node = rows.column("node").to_numpy()
+            node, second = rows.column("node").to_numpy(), rows.column("second").to_numpy()
             edge = _edges(rows)
-            out = []
             for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                if hi - lo > 1:
-                    a, b = linked(points[lo:hi], radius)
-                    a, b = node[lo + a], node[lo + b]
-                    out.append((np.maximum(a, b), np.minimum(a, b)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in out])), pa.array(np.concatenate([y for _, y in out]))], names=["a", "b"])
+                a, b = linked(points[lo:hi], radius, second[lo:hi] if second[lo:hi].any() else None)
+                a, b = node[lo + a], node[lo + b]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
         for batch in batches:
-            # Whole blocks are solved; the last block of a batch may go on in the next, and a block is put together once.
+            # Whole pairs of cells are solved; the last of a batch may go on in the next, and is put together once.
             cut = int(_edges(batch)[-2]) if batch.num_rows else 0
-            if held and batch.num_rows and _edges(pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)]))[1] == 1:
+            if held and batch.num_rows and held[-1].column("pair")[held[-1].num_rows - 1] != batch.column("pair")[0]:
                 yield from solve()
                 held = []
             if cut:
@@ -270,22 +360,18 @@ def links(points: DataFrame, n_points: int, radius: int = RADIUS, recall: float
             yield from solve()
         give_back()
 
-    spread = points.select("node", "hi", "lo").mapInArrow(explode, "key long, node long, hi long, lo long")
-    cells = spread.withColumn("cell", F.lit(0).cast("long"))
-    if n_points > CELL:
-        # Cells of a hot block, by hash; a point goes to the pairs that its cell makes with each, itself included.
-        hot = written(spread.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CELL).select("key", F.ceil(F.col("n") * 2 / CELL).cast("long").alias("g")), "hot")
-        own = F.pmod(F.xxhash64("node"), F.col("g"))
-        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda k: F.least(k, own) * F.col("g") + F.greatest(k, own))
-        cells = spread.join(sized(hot, hot.count()), "key", "left").select("key", "node", "hi", "lo", F.explode(F.coalesce(pairs, F.array(F.lit(0).cast("long")))).alias("cell"))
-    blocks = cells.repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return blocks.mapInArrow(compare, "a long, b long").distinct()
+    # A point goes to the pairs that its cell makes with each, itself included. Pairs of cells i >= j are numbered i (i + 1) / 2 + j, without gaps.
+    own = F.pmod(F.xxhash64("node"), F.lit(cells))
+    pair = lambda k: F.struct((F.greatest(k, own) * (F.greatest(k, own) + 1) / 2 + F.least(k, own)).cast("long").alias("pair"), (own > k).alias("second"))
+    spread = points.select("node", "hi", "lo", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long")), pair)).alias("p")).select("p.pair", "p.second", "node", "hi", "lo")
+    tasks = min(cells * (cells + 1) // 2, 4096)
+    return spread.repartitionById(tasks, F.pmod("pair", F.lit(tasks)).cast("int")).sortWithinPartitions("pair").mapInArrow(compare, "a long, b long").distinct()
 
 
 def _edges(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
-    """Where the runs of equal (key, cell) begin, and the end."""
-    key, cell = (np.asarray(rows.column(c)) for c in ("key", "cell"))
-    return np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]), [True]]))
+    """Where the runs of equal pairs of cells begin, and the end."""
+    pair = np.asarray(rows.column("pair"))
+    return np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1], [True]]))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -310,7 +396,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id, kept_doc_id, distance: one row for each document that is a copy, exact or near, of the one that stays.
 
     Ids must be of an integer type; others raise TypeError before anything runs. Rows with a null id or a text that is null, empty or without a word are never copies.
@@ -323,7 +409,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = with_fingerprint(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     prints = written(prints.groupBy("doc_id").agg(F.min(F.struct("hi", "lo")).alias("f")).select("doc_id", "f.hi", "f.lo"), "prints")
     points = written(prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "points")
-    roots = components(links(points, points.count(), radius, recall))
+    roots = components(links(points, points.count(), radius))
     kept = points.join(sized(roots, roots.count()), "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("kept_doc_id"), (F.col("root").isNotNull() | (F.col("n") > 1)).alias("many"))
     kept = kept.where("many").drop("many")
     first = points.select(F.col("node").alias("kept_doc_id"), F.col("hi").alias("h2"), F.col("lo").alias("l2"))

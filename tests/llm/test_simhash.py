@@ -127,6 +127,58 @@ def test_groups_equal_brute_force(docs_of):
     assert kept == {i for i, _ in rows} - {a for a, _ in got}
 
 
+def far_pairs(n: int):
+    """Rows of n pairs of documents whose fingerprints differ by RADIUS - 2 to RADIUS bits."""
+    one = [prose(k, 60) for k in range(12 * n)]
+    two = [edited(t, k, 16) for k, t in enumerate(one)]
+    p, q = (S.fingerprints(pa.array(x))[0].view(np.uint64).reshape(-1, 2) for x in (one, two))
+    d = np.bitwise_count(p ^ q).sum(1)
+    found = np.flatnonzero((d <= S.RADIUS) & (d >= S.RADIUS - 2))[:n]
+    assert len(found) == n
+    return [(k, x) for k, i in enumerate(found) for k, x in ((2 * k, one[i]), (2 * k + 1, two[i]))]
+
+
+def test_no_link_near_the_radius_is_lost(docs_of):
+    rows = far_pairs(150)
+    want = brute(rows)
+    assert len(want) >= 150
+    assert {(r["doc_id"], r["kept_doc_id"]) for r in S.duplicates(docs_of(rows)).collect()} == want
+
+
+def at_the_radius(singles: int, pairs: int, seed: int):
+    """Single points and, at the end, pairs that differ by RADIUS bits."""
+    rng = np.random.default_rng(seed)
+    one = rng.integers(0, 2**63, (singles + pairs, 2)).astype(np.uint64)
+    two = one[singles:].copy()
+    for k in range(pairs):
+        for b in rng.choice(128, S.RADIUS, replace=False):
+            two[k, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    return np.concatenate([one, two])
+
+
+def test_the_index_meets_all_pairs():
+    """Of one cell and of two, against all pairs; in blocks of each number."""
+    points = at_the_radius(9000, 500, 8)
+    a, b = S.linked(points, S.RADIUS)
+    assert {(int(x), int(y)) for x, y in zip(a, b, strict=True)} == {(k + 500, k) for k in range(9000, 9500)} and S.indexed(len(points), len(points), S.RADIUS)
+    second = np.arange(len(points)) >= 9500
+    a, b = S.linked(points, S.RADIUS, second)
+    assert {(int(x), int(y)) for x, y in zip(a, b, strict=True)} >= {(k + 500, k) for k in range(9000, 9500)}
+    for blocks in range(1, S.RADIUS + 2):
+        reach = S.probes(blocks, S.RADIUS)
+        assert len(reach) == blocks and sum(r + 1 for r in reach) == S.RADIUS + 1 and min(reach) >= 0
+
+
+def test_cells_lose_no_pair(spark, monkeypatch):
+    points = at_the_radius(200, 300, 9)
+    halves = points.view(np.int64)
+    table = spark.createDataFrame([(k, int(h), int(x)) for k, (h, x) in enumerate(halves)], "node long, hi long, lo long")
+    for cell in (S.CELL, 300):
+        monkeypatch.setattr(S, "CELL", cell)
+        got = {(r["a"], r["b"]) for r in S.links(table, len(points)).collect()}
+        assert got == {(k + 300, k) for k in range(200, 500)}
+
+
 def test_large_block_of_equal_and_near_points(docs_of):
     base = prose(1, 300)
     rows = [(k, edited(base, k, 60)) for k in range(700)]
