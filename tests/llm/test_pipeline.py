@@ -55,6 +55,16 @@ def test_odd_rows(spark, odd, none):
     assert P.ORACLE_SQL is None and [n for n, _ in P.STAGES] == ["language", "near_duplicates", "decontamination", "secrets", "packing"]
 
 
+def test_near_duplicates_goes_by_all_pairs(spark):
+    """Of pairs whose fingerprints differ by as much as is allowed, the first stays each time."""
+    from test_simhash import brute, far_pairs
+
+    rows = far_pairs(150)
+    docs = spark.createDataFrame([(k, t, "en", "web", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in P.near_duplicates(spark, docs, SF).collect()}
+    assert kept == {k for k, _ in rows} - {gone for gone, _ in brute(rows)}
+
+
 def test_run_leaves_what_the_result_needs(spark):
     from pathlib import Path
 
