@@ -22,8 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of exact and near copies stays, that of the smallest id.
 
-    Rows with a null id or a text without a word stay; rows that repeat an id are one document and stay or go together,
-    whatever their texts; texts are hashed whole; an empty table stays empty; columns may have any name.
+    Rows with a null id or a text without a word stay; rows that repeat an id stay or go as their texts do, together if
+    those are equal; texts are hashed whole; an empty table stays empty; columns may have any name.
     """
     return simhash.keep_first(docs)
 

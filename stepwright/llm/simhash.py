@@ -29,11 +29,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from stepwright.llm.common import give_back, hash_strings, map_batches, mix64, remove_written, sized, tables_written, written
+from stepwright.llm.common import free_names, give_back, hash_strings, map_batches, mix64, remove_written, sized, tables_written, written
 
 BITS = 128
 RADIUS = 18
@@ -95,20 +95,25 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, hi, lo (the fingerprint's halves) of each row that has an id and at least one word."""
+    """doc_id, key (the text's, see text_key()), hi, lo (the fingerprint's halves) of each row that has an id and at least one word."""
 
     def make():
         def kernel(batch: pa.RecordBatch):
-            bits, count = fingerprints(batch.column(1))
+            bits, count = fingerprints(batch.column(2))
             halves = bits.view(np.int64).reshape(-1, 2)
             some = pa.array(count > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["doc_id", "hi", "lo"]).filter(some)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["doc_id", "key", "hi", "lo"]).filter(some)
 
         return kernel
 
     kind = docs.schema[id_col].dataType.simpleString()
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return map_batches(chosen, make, f"doc_id {kind}, hi long, lo long", "text")
+    chosen = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    return map_batches(chosen, make, f"doc_id {kind}, key long, hi long, lo long", "text")
+
+
+def text_key(text_col: str) -> Column:
+    """Tells the texts of rows that repeat an id from each other."""
+    return F.xxhash64(F.col(text_col).cast("string"))
 
 
 def planned(points: int, radius: int = RADIUS, recall: float = RECALL) -> tuple[int, int]:
@@ -396,33 +401,44 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """doc_id, key (its text's), kept_doc_id, distance: one row for each text of a document that is a copy, exact or near, of one of another that stays; see duplicates()."""
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} is {docs.schema[id_col].dataType.simpleString()}: groups are numbered by integer ids")
+    prints = with_fingerprint(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    prints = written(prints.distinct(), "prints")
+    # An id may be the first of several points, so points have numbers of their own.
+    points = prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), (F.min("doc_id") < F.max("doc_id")).alias("many"))
+    points = written(points.withColumn("node", F.monotonically_increasing_id()), "points")
+    roots = components(links(points, points.count(), radius))
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    rows = sized(roots, roots.count())
+    heads = points.join(rows, "node").groupBy("root").agg(F.min(F.struct("first", "hi", "lo")).alias("head"))
+    kept = points.join(rows.join(heads, "root"), "node", "left").where(F.col("many") | F.col("head").isNotNull())
+    kept = kept.select("hi", "lo", F.coalesce("head", F.struct("first", "hi", "lo")).alias("head"))
+    out = prints.join(kept, ["hi", "lo"]).where(F.col("doc_id") != F.col("head.first"))
+    distance = F.bit_count(F.col("hi").bitwiseXOR(F.col("head.hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("head.lo")))
+    return out.select("doc_id", "key", F.col("head.first").alias("kept_doc_id"), distance.cast("int").alias("distance"))
+
+
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id, kept_doc_id, distance: one row for each document that is a copy, exact or near, of the one that stays.
 
     Ids must be of an integer type; others raise TypeError before anything runs. Rows with a null id or a text that is null, empty or without a word are never copies.
-    Rows that repeat an id count as one document, with the fingerprint that sorts first. The smallest id of a group
-    stays, so ties can't arise; documents without a copy don't appear; texts are hashed whole; an empty table gives
-    no rows. Other columns of docs are not looked at.
+    Rows that repeat an id and its text count as one document; if the texts differ, each has links of its own, and the
+    id a row for each group that it is a copy in, with its least distance there. The smallest id of a group stays, with
+    the fingerprint that sorts first, so ties can't arise; documents without a copy don't appear; texts are hashed
+    whole; an empty table gives no rows. Other columns of docs are not looked at.
     """
-    if not isinstance(docs.schema[id_col].dataType, IntegralType):
-        raise TypeError(f"{id_col} is {docs.schema[id_col].dataType.simpleString()}: groups are numbered by integer ids")
-    prints = with_fingerprint(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    prints = written(prints.groupBy("doc_id").agg(F.min(F.struct("hi", "lo")).alias("f")).select("doc_id", "f.hi", "f.lo"), "prints")
-    points = written(prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "points")
-    roots = components(links(points, points.count(), radius))
-    kept = points.join(sized(roots, roots.count()), "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("kept_doc_id"), (F.col("root").isNotNull() | (F.col("n") > 1)).alias("many"))
-    kept = kept.where("many").drop("many")
-    first = points.select(F.col("node").alias("kept_doc_id"), F.col("hi").alias("h2"), F.col("lo").alias("l2"))
-    out = prints.join(kept, ["hi", "lo"]).where(F.col("doc_id") != F.col("kept_doc_id")).join(first, "kept_doc_id")
-    distance = F.bit_count(F.col("hi").bitwiseXOR(F.col("h2"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("l2")))
-    return out.select("doc_id", "kept_doc_id", distance.cast("int").alias("distance"))
+    return copies(docs, id_col, text_col, radius).groupBy("doc_id", "kept_doc_id").agg(F.min("distance").alias("distance"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, without those that duplicates() lists.
+    """The rows of docs, all columns, without the texts that copies() lists.
 
-    Rows with a null id or a null, empty or wordless text stay, as they are no copies; a row that repeats an id stays or
-    goes as the id does; an empty table stays empty. Columns may have any name.
+    Rows with a null id or a null, empty or wordless text stay, as they are no copies; rows that repeat an id stay or go
+    as their texts do, so that no text goes for another's sake; an empty table stays empty. Columns may have any name.
     """
-    gone = written(duplicates(docs, id_col, text_col).select(F.col("doc_id").alias(id_col)), "copies")
-    return docs.join(sized(gone, gone.count()), id_col, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    own_id, own_key = free_names(docs, "gone_id", "gone_key")
+    gone = written(copies(docs, id_col, text_col).select(F.col("doc_id").alias(own_id), F.col("key").alias(own_key)), "copies")
+    return docs.join(sized(gone, gone.count()), (F.col(f"`{id_col}`").cast("long") == F.col(own_id)) & (text_key(text_col) == F.col(own_key)), "left_anti")

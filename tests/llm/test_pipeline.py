@@ -65,6 +65,15 @@ def test_near_duplicates_goes_by_all_pairs(spark):
     assert kept == {k for k, _ in rows} - {gone for gone, _ in brute(rows)}
 
 
+def test_near_duplicates_meets_each_text_of_an_id(spark):
+    """A document under an id that is there twice, with two texts: copies of either go."""
+    from llm_texts import prose
+
+    rows = [(1, prose(1, 90)), (1, prose(2, 90)), (5, prose(1, 90) + "!"), (6, prose(2, 90) + "!"), (7, prose(3, 90))]
+    docs = spark.createDataFrame([(k, t, "en", "web", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert ids(P.near_duplicates(spark, docs, SF)) == ["1", "1", "7"]
+
+
 def test_run_leaves_what_the_result_needs(spark):
     from pathlib import Path
 

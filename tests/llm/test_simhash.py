@@ -212,3 +212,18 @@ def test_odd_rows(odd, none):
     kept = S.keep_first(odd)
     assert kept.columns == odd.columns and kept.count() == len(ODD) - 1
     assert S.duplicates(none).collect() == [] and S.keep_first(none).collect() == []
+
+
+def test_texts_of_one_id_each_have_their_links(docs_of):
+    """Each of two texts under one id is met by a copy, whichever fingerprint sorts first; no text goes for the other's sake."""
+    a, b = prose(1, 300), prose(2, 300)
+    near_a, near_b = edited(a, 1, 60), edited(b, 2, 60)
+    rows = [(7, a), (7, b), (7, None), (3, near_a), (9, near_b), (9, near_b), (12, prose(3, 300))]
+    got = {(r["doc_id"], r["kept_doc_id"]) for r in S.duplicates(docs_of(rows)).collect()}
+    assert got == {(7, 3), (9, 7)}
+    kept = {(r["doc_id"], r["text"]) for r in S.keep_first(docs_of(rows)).collect()}
+    assert kept == {(7, b), (7, None), (3, near_a), (12, prose(3, 300))}
+    # The smallest id of two groups joins them no more than their texts do, and a copy of itself is none.
+    rows = [(1, a), (1, b), (1, edited(a, 5, 60)), (2, near_a), (4, near_b)]
+    assert {(r["doc_id"], r["kept_doc_id"]) for r in S.duplicates(docs_of(rows)).collect()} == {(2, 1), (4, 1)}
+    assert S.keep_first(docs_of(rows)).count() == 3
