@@ -299,3 +299,25 @@ def test_step_flattening_keeps_every_chain(spark, tmp_path):
     spark.createDataFrame([(k, 1, 3, 1, 7.0, 1.0, 0.0, 0.0, "N", "O", None) for k in (1, 3000)], item).write.parquet(str(tmp_path / "lineitem.parquet"))
     got = sorted(tuple(r) for r in step_flattening(spark, str(tmp_path)).collect())
     assert [(r[0], r[1]) for r in got] == [(1, 1), (2999, None), (3000, 1), (90000, None)]
+
+
+def test_step_flattening_odd_rows_by_sql(spark, tmp_path):
+    """Fractional, negative and missing quantities, and missing values in what numbers the variants; all orders are below the SQL's 3,000."""
+    import duckdb
+    import oracle
+
+    from stepwright import catalog
+
+    odd = [(k, 1, 3, q) for k, q in enumerate([7.5, 2.5, 1.5, 0.5, -0.5, -2.5, -3.0, -7.0, None, 7.0], 1)]
+    odd += [(11, 1, None, 2.0), (11, 1, 1, 3.0), (11, 1, 2, 4.0), (11, 2, 1, None), (11, 2, 1, 8.0), (None, 1, 1, 1.0), (12, None, 1, 1.0)]
+    item = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate date"
+    tables = {
+        "orders": spark.createDataFrame([(k,) for k in [*range(1, 14), 2999, 2999, -1]], "o_orderkey long"),
+        "lineitem": spark.createDataFrame([(k, n, p, 1, q, 1.0, 0.0, 0.0, "N", "O", None) for k, n, p, q in odd], item),
+    }
+    con = duckdb.connect()
+    for name, t in tables.items():
+        t.write.parquet(str(tmp_path / f"{name}.parquet"))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = oracle.of_spark(catalog.queries()["step_flattening"](spark, str(tmp_path)))
+    assert oracle.difference(got, oracle.of_sql(con, catalog.oracle_sql()["step_flattening"])) == ""
