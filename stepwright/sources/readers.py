@@ -32,12 +32,19 @@ def read_jsonl_or_empty(spark: SparkSession, path: str, schema: T.StructType | s
     return read_jsonl(spark, path, schema)
 
 
-def read_csv(spark: SparkSession, path: str | list[str], columns: list[str] | None = None, separator: str = ",") -> DataFrame:
-    """CSV with a header, quotes doubled inside quotes, line breaks inside cells; all columns strings, null as empty."""
+def read_csv(spark: SparkSession, path: str | list[str], columns: list[str] | None = None, separator: str = ",", null: str | None = None) -> DataFrame:
+    """CSV with a header, quotes doubled inside quotes, line breaks inside cells; all columns strings, null as empty.
+
+    null: the mark of write_csv() for nulls, which then come back as such.
+    """
     reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("sep", separator)
     if columns:
         reader = reader.schema(", ".join(f"`{c}` string" for c in columns))
-    return reader.csv(path).na.fill("")
+    rows = reader.csv(path).na.fill("")
+    if null is None:
+        return rows
+    cell = lambda c: F.when(F.col(f"`{c}`") != null, F.regexp_replace(f"`{c}`", r"^\\", "")).alias(c)
+    return rows.select(*map(cell, rows.columns))
 
 
 def read_ragged_tsv(spark: SparkSession, path: str, header: list[str]) -> DataFrame:

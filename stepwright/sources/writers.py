@@ -17,10 +17,21 @@ from stepwright.functions.text import strip
 from stepwright.operators.keys import latest_by
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
-    """The given columns in this order, with a header; arrays and structs as JSON text."""
+def write_csv(df: DataFrame, path: str, columns: list[str], null: str | None = None) -> None:
+    """The given columns in this order, with a header; arrays and structs as JSON text; white space at a cell's ends stays.
+
+    A null is an empty cell, or the mark null if given: it begins with a backslash, and cells that do so get one more.
+    """
     nested = {f.name for f in df.schema if f.dataType.typeName() in ("array", "struct", "map")}
-    df.select(*(F.to_json(c).alias(c) if c in nested else F.col(c) for c in columns)).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+    def cell(c: str) -> Column:
+        v = F.to_json(c) if c in nested else F.col(c)
+        if null is not None:
+            v = F.when(v.isNull(), null).when(v.cast("string").startswith("\\"), F.concat(F.lit("\\"), v.cast("string"))).otherwise(v.cast("string"))
+        return v.alias(c)
+
+    out = df.select(*map(cell, columns)).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+    out.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

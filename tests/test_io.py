@@ -32,6 +32,22 @@ def test_csv_round_trip(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == sorted([('say "hi", you', "1", '["a"]'), ("two\nlines", "2", "[]"), ("", "3", "")])
 
 
+def test_csv_round_trip_odd_texts_by_sql(spark, tmp_path):
+    """Blanks at the ends, empty and null cells, backslashes, carriage returns: as the SQL has them."""
+    import duckdb
+    import oracle
+
+    from stepwright import catalog
+
+    texts = ["plain", " lead", "trail ", "\t", "  ", "", None, "a\r\nb", "\r", "\n", "a\nb\n", '"', '""', "a\\", '\\"', r"\N", r"\\N", "\\", "#c", "null", "x" * 200_000]
+    df = spark.createDataFrame([(k, t, "en" if k != 3 else None, "web") for k, t in enumerate(texts)] + [(None, "no id", "fr", "web")], "doc_id long, text string, lang string, source string")
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = oracle.of_spark(catalog.queries()["csv_round_trip"](spark, str(tmp_path)))
+    assert oracle.difference(got, oracle.of_sql(con, catalog.oracle_sql()["csv_round_trip"])) == ""
+
+
 def test_ragged_tsv(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("ID\tNAME\tTAGS\n1\tone\ta\tb\t \tc\n2\n")
     assert [tuple(r) for r in R.read_ragged_tsv(spark, str(tmp_path / "t.tsv"), ["ID", "NAME", "TAGS"]).collect()] == [("1", "one", "a b c"), ("2", "", "")]
