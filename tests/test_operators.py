@@ -104,6 +104,30 @@ def test_blocked_neighbours_equal_the_join(clips, least):
     assert V.knn_blocks(clips.limit(0), 5).collect() == []
 
 
+def test_blocked_neighbours_send_each_clip_a_few_times(spark):
+    """Small blocks: a clip goes to 16 blocks at most, and only the k best come back; ties by id, repeated vectors."""
+    from measure import moved
+
+    rng = np.random.default_rng(2)
+    v = np.repeat(rng.normal(size=(100, 8)), 4, axis=0)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    clips = spark.createDataFrame([(k, k // 2, "a", [float(x) for x in v[k]]) for k in range(400)], "clip_id long, track_id long, split string, audio array<double>")
+    got = V.knn_blocks(clips, 5, block_rows=2)
+    assert moved(spark, lambda: got.write.format("noop").mode("overwrite").save())[0] <= 400 * 16 + 400 * 5
+    assert rows(got, "source", "target", "rank") == rows(V.knn_join(clips, 5), "source", "target", "rank")
+
+
+def test_knn_topk_makes_no_table_of_pairs(spark):
+    from measure import moved
+    from oracle import SF
+
+    from stepwright import catalog
+
+    df = catalog.queries()["knn_topk"](spark, SF)
+    assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString()  # blocks; a join of all pairs before
+    assert moved(spark, lambda: df.write.format("noop").mode("overwrite").save())[0] < 500 * 40
+
+
 def test_neighbours_equal_brute_force(clips):
     data = [r for r in clips.collect() if r["split"] is not None]
     for s in data[:12]:
