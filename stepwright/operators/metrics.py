@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepwright.operators.keys import average_rank
+from stepwright.storage import written
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -38,6 +39,7 @@ def quadratic_kappa(x: Column, y: Column, k: int = 5) -> Column:
 
 def agreement(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
     """Per key: n_items, means, mean_diff, mae, within1_rate, accept_agree_rate, kappa, AC1, weighted kappa, Pearson and Spearman, at 3 decimals."""
+    pairs = written(pairs.select(*keys, x, y), "pairs")
     ranked = average_rank(average_rank(pairs, keys, x, "_rx"), keys, y, "_ry")
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     out = {

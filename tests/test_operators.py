@@ -52,6 +52,63 @@ def test_average_ranks(spark):
     assert rows(K.average_rank(df, ["g"], "v", "r"), "v", "r") == [(1.0, 1.0), (5.0, 2.5), (5.0, 2.5), (9.0, 4.0)]
 
 
+def test_average_ranks_by_counts(spark):
+    """Nulls come last, in keys too, as in the SQL; only counts are shuffled."""
+    from measure import moved
+
+    df = spark.createDataFrame([("a", 5), ("a", None), ("a", 1), ("a", None), (None, 2), (None, 2)], "g string, v int")
+    assert rows(K.average_rank(df, ["g"], "v", "r"), "g", "v", "r") == sorted([("a", 1, 1.0), ("a", 5, 2.0), ("a", None, 3.5), ("a", None, 3.5), (None, 2, 1.5), (None, 2, 1.5)], key=repr)
+    pairs = spark.range(8000).select(F.lit("q").alias("q"), (F.col("id") % 5).alias("x"), (F.col("id") % 3).alias("y"))
+    assert moved(spark, lambda: M.agreement(pairs, ["q"]).collect())[0] < 1000
+
+
+def test_balanced_order_of_the_first(spark):
+    from measure import moved
+
+    df = spark.range(6000).select("id", F.when(F.col("id") < 5, "few").when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("s"), F.sha1(F.col("id").cast("string")).alias("h"))
+    whole = K.balanced_order(df, "s", "h")
+    assert whole.count() == 6000
+    got = []
+    assert moved(spark, lambda: got.extend(rows(K.balanced_order(df, "s", "h", most=40), "id", "position")))[0] < 2000
+    assert got == rows(whole.where("position <= 40"), "id", "position")
+
+
+def test_long_chains_of_tags_in_one_pass(spark):
+    """600 turns of 12 tags each: each turn's state as by a walk over the moves; before, each looked at all pairs of moves."""
+    import time
+
+    rng = np.random.default_rng(3)
+    data, at, want = [], {}, {}
+    for turn in range(600):
+        tags = [f"t{k:03}" for k in rng.choice(400, 12, replace=False)]
+        data.append((1, turn, tags[:6], tags[6:]))
+        at |= {x: 1 for x in tags[:6]} | {x: 0 for x in tags[6:]}
+        want[turn] = tuple(sorted(x for x, op in at.items() if op == side) for side in (1, 0))
+    s = spark.createDataFrame(data, "chain_id long, turn int, tags_added array<string>, tags_removed array<string>")
+    began = time.time()
+    got = {r["turn"]: (r["added_cumulative"], r["removed_cumulative"]) for r in W.cumulative_state(s).collect()}
+    assert got == want
+    assert time.time() - began < 30
+
+
+def test_items_search_each_text_once(spark):
+    """The evidence is joined before the terms: typing a turn's terms does not copy or scan its tags one by one."""
+    df = spark.createDataFrame([(["night-drive", "piano", "vocals:x", "two words", "gone", " "], ["Pianos", "", "lo"], ["A night-drive home"], [None])], "t array<string>, tags array<string>, captions array<string>, lyrics array<string>")
+    got = df.select(D.semantic_items(*(F.col(c) for c in df.columns)).alias("i")).first()["i"]
+    assert [tuple(x) for x in got] == [("night-drive", "caption", "semantic"), ("piano", "tag", "instrument"), ("vocals:x", "tag", "vocal_status"), ("two words", "caption", "semantic"), ("gone", "semantic", "semantic"), ("", "tag", "tag")]
+    apart = df.select(F.explode("t").alias("term"), "tags", "captions", "lyrics").select(D.semantic_item(F.col("term"), F.col("tags"), F.col("captions"), F.col("lyrics")).alias("i")).collect()
+    assert [tuple(r["i"]) for r in apart] == [tuple(x) for x in got]
+
+
+def test_genres_by_plain_search(spark):
+    from stepwright.functions import labels as L
+
+    df = spark.createDataFrame([(["R&B", "x"],), (["rxb"],), ([None, "Hip-Hop"],), (["popular"],), ([],)], "t array<string>")
+    expr = df.select(L.genre(F.col("t")).alias("g"))
+    assert [r["g"] for r in expr.collect()] == ["Soul/R&B", "Other", "Hip-hop", "Pop", "Other"]
+    assert "RLIKE" not in expr._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_prefix_and_gate(spark):
     v = spark.createDataFrame([(1, 1, 0, 5.0), (1, 1, 1, 3.0), (1, 2, 0, 2.0), (1, 2, 1, 3.0), (1, 3, 0, 5.0), (2, 1, 0, None), (3, 1, 0, 4.0), (3, 1, 1, 4.0)], "chain_id int, turn int, variant int, score double")
     g = G.grade(v, "score")
