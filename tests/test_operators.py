@@ -402,3 +402,28 @@ def test_step_flattening_odd_rows_by_sql(spark, tmp_path):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
     got = oracle.of_spark(catalog.queries()["step_flattening"](spark, str(tmp_path)))
     assert oracle.difference(got, oracle.of_sql(con, catalog.oracle_sql()["step_flattening"])) == ""
+
+
+def test_all_candidates_count_without_a_cap(spark):
+    """A step with 40 neighbours has all of them, and the SQL of relevance_pool and solvability cuts none; the others' SQL does."""
+    from stepwright import catalog
+
+    steps = spark.createDataFrame([(1, 10, 20, 1, [], [])], "step long, source long, target long, seed long, prior array<long>, references array<long>")
+    edges = spark.createDataFrame([(10, 100 + k, k, k, 0.5, 0.5, 0.5) for k in range(1, 41)], "source long, target long, audio_rank int, rerank_rank int, audio_similarity double, text_similarity double, rerank_score double")
+    assert P.merge_candidates(P.candidate_sources(steps, edges)).count() == 42
+    cut = {n for n, sql in catalog.oracle_sql().items() if "clips_before <" in sql}
+    assert not cut & {"relevance_pool", "solvability"} and "candidate_merge" in cut
+
+
+def test_reasons_of_a_split_without_a_shuffle_of_pairs(spark):
+    """50 steps by 400 clips: the pairs are made where the steps are; a step's candidates keep what they have, repeated ones too."""
+    from measure import moved
+
+    clips = spark.range(400).select(F.col("id").alias("clip"), F.lit("a").alias("split"))
+    data = [(s, c, "a", c == s, "Type_TARGET" if c == s else "Type_H", "x", 4 if c == s else 1) for s in range(50) for c in (s, s + 100)] + [(0, 100, "a", False, "Type_T", "y", 2)]
+    rows_ = spark.createDataFrame(data, "step long, clip long, split string, is_target boolean, pool_type string, failure_category string, grade int")
+    columns = ("step", "clip", "reason_code", "failure_category", "grade", "label")
+    got = []
+    assert moved(spark, lambda: got.extend(rows(P.reason_codes_of_splits(clips, rows_, 64), *columns)))[0] < 5000
+    every = rows_.where("is_target").select("step").crossJoin(clips.select("clip"))
+    assert got == rows(P.reason_codes(every, rows_.drop("split", "is_target")), *columns) and len(got) == 50 * 400 + 1
